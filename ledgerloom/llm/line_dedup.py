@@ -9,8 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER, byte_column, drop_stored, stored, with_row_id
+from .common import LOWER, byte_column, stored, with_row_id
 from .components import connected_components
 
 SHINGLE, THRESHOLD = 8, 0.8
@@ -25,9 +26,17 @@ HELD = 4_000_000
 NONE = np.uint64(2**64 - 1)
 
 
+_BLANKS = LOWER.translate(bytes(32 if b in b"\t\r\x0b\x0c" else b for b in range(256)))
+
+
 def normal_lines(text: bytes | None) -> list[bytes]:
     """Lines cut at newlines; A-Z lower-cased, runs of ASCII blanks one blank, none at the ends."""
-    return [b" ".join(line.split()) for line in text.translate(LOWER).split(b"\n")] if text is not None else []
+    if text is None:
+        return []
+    text = text.translate(_BLANKS)
+    if b"  " in text or b" \n" in text or b"\n " in text or text[:1] == b" " or text[-1:] == b" ":
+        return [b" ".join(line.split()) for line in text.split(b"\n")]
+    return text.split(b"\n")
 
 
 def line_id(line: bytes) -> int:
@@ -69,7 +78,7 @@ def band_keys(lines: list[bytes]) -> np.ndarray:
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin, n)
     h = h[at]
     sig = np.full(len(lines) * bins, NONE)
-    np.minimum.at(sig, line * bins + (((h >> np.uint64(40)) * np.uint64(bins)) >> np.uint64(24)).astype(np.int64), _mixed(h))
+    np.minimum.at(sig, line * bins + (((h >> np.uint64(40)) * np.uint64(bins)) >> np.uint64(24)).astype(np.int64), h & np.uint64((1 << 40) - 1))
     sig = sig.reshape(-1, bins)
     rows = np.flatnonzero((sig == NONE).any(axis=1))
     source, attempt = sig[rows].copy(), 0
@@ -161,24 +170,34 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _jaccard_links(lids: list[int], sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
     """Links that join a group's lines as all its links would; a line is compared until it is reached."""
-    out, rest, todo = [], list(range(1, len(lids))), [0]
-    while rest:
+    sizes = np.array([len(x) for x in sets])
+    if len(lids) == 2:
+        a, b = sorted(sets, key=len)
+        shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+        return [(lids[0], lids[1])] if shared >= threshold * (len(a) + len(b) - shared) - 1e-9 else []
+    kinds, dense = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum(sizes) - sizes
+    mark = np.zeros(len(kinds), bool)
+    out, rest, todo, held, built = [], np.arange(1, len(lids)), [0], None, 0
+    while len(rest):
         if not todo:
-            todo.append(rest.pop(0))
+            todo, rest = [int(rest[0])], rest[1:]
             continue
+        if held is None or 2 * len(rest) < built:  # the lines not reached, end to end
+            at = np.concatenate([np.arange(begin[i], begin[i] + sizes[i]) for i in rest])
+            held, lines, built = dense[at], rest, len(rest)
+            edge = np.cumsum(sizes[lines]) - sizes[lines]
         p = todo.pop()
-        own, size = sets[p], len(sets[p])
-        fits = [i for i in rest if threshold * size <= len(sets[i]) <= size / threshold]
-        if not fits:
-            continue
-        n = np.array([len(sets[i]) for i in fits])
-        other = np.concatenate([sets[i] for i in fits])
-        hit = own[np.minimum(np.searchsorted(own, other), size - 1)] == other
-        shared = np.add.reduceat(hit, np.cumsum(n) - n)
-        near = {i for i, s, m in zip(fits, shared.tolist(), n.tolist(), strict=True) if s >= threshold * (size + m - s) - 1e-9}
-        out += [(lids[p], lids[i]) for i in near]
-        todo += near
-        rest = [i for i in rest if i not in near]
+        own = dense[begin[p] : begin[p] + sizes[p]]
+        mark[own] = True
+        shared = np.add.reduceat(mark[held].view(np.int8), edge, dtype=np.int64)
+        mark[own] = False
+        near = lines[shared >= threshold * (sizes[p] + sizes[lines] - shared) - 1e-9]
+        near = near[np.isin(near, rest)]
+        if len(near):
+            out += [(lids[p], lids[i]) for i in near.tolist()]
+            todo += near.tolist()
+            rest = rest[~np.isin(rest, near)]
     return out
 
 
@@ -276,6 +295,7 @@ def line_removals(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classed = seen.join(near, F.col("lid") == F.col("node"), "left").select("row", "doc_id", "line", F.coalesce("component", "lid").alias("class"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
     kept = classed.groupBy("class").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    kept = stored(kept)  # joined on its own, so that the rows of a hot line are split over tasks
     gone = classed.join(kept, "class").where(place != F.col("kept"))
     return gone.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("line", F.col("kept.doc_id").alias("kept_in")))).alias("removed"))
 
@@ -293,11 +313,28 @@ def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     rows = with_row_id(docs, "_row")
     gone = line_removals(rows.select(F.col("_row").alias("row"), "doc_id", "text"), threshold).withColumnRenamed("row", "_gone_row").withColumnRenamed("removed", "_removed")
-    joined = rows.join(gone, F.col("_row") == F.col("_gone_row"), "left")
-    parts = F.split("text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.transform("_removed", lambda x: x["line"]))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
-    lost = F.coalesce(F.size("_removed"), F.lit(0))
-    info = F.struct(n.alias("n_lines"), (n - F.when(lost > 0, lost).otherwise(0)).alias("n_kept"), F.coalesce("_removed", F.array().cast("array<struct<line:int,kept_in:bigint>>")).alias("removed"), F.col("text").alias("before"))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], info.alias("_lines"))
+    joined = rows.join(gone, F.col("_row") == F.col("_gone_row"), "left").drop("_row", "_gone_row").withColumn("_before", F.col("text").cast("string"))
+
+    def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            removed = batch.column(names.index("_removed"))
+            texts, n, kept = [], [], []
+            for at, part in byte_column(batch, "_before"):
+                for text, own in zip(part, removed.slice(at, len(part)).to_pylist(), strict=True):
+                    lines = text.count(b"\n") + 1 if text is not None else 0
+                    gone = {r["line"] for r in own or ()}
+                    texts.append(b"\n".join([x for k, x in enumerate(text.split(b"\n")) if k not in gone]) if gone else text)
+                    n.append(lines)
+                    kept.append(lines - len(gone))
+            new = pa.array(texts, pa.binary()).cast(batch.column(names.index("_before")).type)
+            own = [c for c in names if c not in ("_removed", "_before")]
+            columns = [new if c == "text" else batch.column(names.index(c)) for c in own]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(kept, pa.int64()), removed], [*own, "_n_lines", "_n_kept", "_removed"])
+
+    fields = [T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields]
+    more = [T.StructField("_n_lines", T.LongType()), T.StructField("_n_kept", T.LongType()), joined.schema["_removed"]]
+    made = joined.mapInArrow(rebuilt, T.StructType([*fields, *more]))
+    removed = F.coalesce("_removed", F.array().cast("array<struct<line:int,kept_in:bigint>>"))
+    info = F.struct(F.col("_n_lines").alias("n_lines"), F.col("_n_kept").alias("n_kept"), removed.alias("removed"))
+    return made.select(*[F.col(f"`{c}`") for c in docs.columns], info.alias("_lines"))
