@@ -1,0 +1 @@
+"""Distributed operators over chain tables."""

@@ -1,0 +1 @@
+"""Sources: test tables, RLP decoding."""

@@ -1,0 +1,71 @@
+"""Fail-closed validation of a chain-event stream, in batch and under Structured Streaming."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import align
+
+#: Arrival numbers of one window task.
+SPAN = 1 << 16
+
+
+def running_max_before(rows: DataFrame, order: str, value: str, span: int = SPAN) -> DataFrame:
+    """``_before``: the largest ``value`` at any smaller ``order``, by blocks of order values and one row per block."""
+    rows = rows.withColumn("_cut", align(F.col(order), span))
+    own = Window.partitionBy("_cut").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("_cut").agg(F.max(value).alias("_high"))
+    carried = blocks.select(F.col("_cut").alias("_of"), F.max("_high").over(Window.orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    out = rows.withColumn("_own", F.max(value).over(own)).join(carried, F.col("_cut") == F.col("_of"), "left")
+    return out.withColumn("_before", F.greatest("_own", "_carry")).drop("_cut", "_of", "_own", "_carry")
+
+
+def judged(events: DataFrame, chain_id: int) -> DataFrame:
+    """``events(seq, chain_id, block_number, block_hash, ...)`` with ``error`` and ``duplicate``.
+
+    In the order of the checks: another chain, a block seen before with the same hash (ignored) or with
+    another, a number below the last new block's.  Exact up to the first error, behind which nothing counts.
+    """
+    first = Window.partitionBy("block_number").orderBy("seq")
+    known = events.withColumn("_first_hash", F.first("block_hash").over(first)).withColumn("_again", F.row_number().over(first) > 1)
+    known = running_max_before(known.withColumn("_new", F.when(~F.col("_again"), F.col("block_number"))), "seq", "_new")
+    error = (
+        F.when(F.col("chain_id") != chain_id, "chain_id_mismatch")
+        .when(F.col("_again") & (F.col("block_hash") != F.col("_first_hash")), "block_hash_mismatch")
+        .when(~F.col("_again") & (F.col("block_number") < F.col("_before")), "non_monotonic_block_number")
+    )
+    return known.select(*events.columns, error.alias("error"), F.col("_again").alias("duplicate"))
+
+
+def first_error(events: DataFrame, chain_id: int) -> DataFrame:
+    """(seq, block_number, error) of the first error, if any."""
+    return judged(events, chain_id).where("error is not null").orderBy("seq").select("seq", "block_number", "error").limit(1)
+
+
+def accepted(events: DataFrame, chain_id: int) -> DataFrame:
+    """Events before the first error, each block once."""
+    seen = judged(events, chain_id)
+    stop = seen.where("error is not null").agg(F.min("seq").alias("_stop"))  # one row
+    return seen.join(F.broadcast(stop)).where("(_stop is null or seq < _stop) and not duplicate").drop("_stop", "error", "duplicate")
+
+
+def verdict(events: DataFrame, chain_id: int, expected_end: int | None, closed: bool = True) -> dict:
+    """The validation summary: valid, error, blocks_observed, start and end; fixed size whatever the stream."""
+    kept = accepted(events, chain_id).agg(F.count("*").alias("blocks_observed"), F.min("block_number").alias("start_block"), F.max("block_number").alias("end_block")).first().asDict()
+    wrong = first_error(events, chain_id).collect()
+    error = wrong[0]["error"] if wrong else None
+    if error is None and not closed:
+        error = "channel_closed_unexpectedly"
+    if error is None and expected_end is not None and kept["end_block"] is not None and kept["end_block"] != expected_end:
+        error = "end_of_stream_mismatch"
+    return {"valid": error is None, "error": error, **kept}
+
+
+def run_stream(source: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
+    """All that a streaming source has now, through ``sink(batch, epoch)``; an epoch may come twice, so sinks overwrite by epoch."""
+    query = source.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
