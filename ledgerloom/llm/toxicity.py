@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, byte_column, fold, stored
+from .common import WORDS, byte_column, drop_stored, fold, stored
 
 ORDER, BACKOFF, DISCOUNT, THRESHOLD = 6, 3, 0.75, 0.5
 #: Cells of the scoring tables (two of float32: 16 MB), whatever the corpus.
@@ -204,8 +204,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, column: str = "toxic", t
     known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & (fold() != 0))
     known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col(column)).cast("int").alias("label"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    learnt = texts.where(fold().isin(2, 3, 4)).join(known, F.col("doc_id") == F.col("_id")).select("text", "label")
-    model = tables(ratios(gram_counts(learnt)))
+    # labels grow with the documents, so both sides are dealt by id at every size
+    learnt = texts.where(fold().isin(2, 3, 4)).join(known.where(fold("_id").isin(2, 3, 4)).hint("merge"), F.col("doc_id") == F.col("_id")).select("text", "label")
+    counts = stored(gram_counts(learnt))
+    model = tables(ratios(counts))
+    drop_stored(counts)
     found = stored(with_evidence(texts, model))
     chosen = F.broadcast(known.where(fold("_id") == 1).orderBy(F.xxhash64("_id"), "_id").limit(calibration))
     rows = found.join(chosen, F.col("doc_id") == F.col("_id")).select("e0", "e1", "e2", "e3", "label").orderBy(F.xxhash64("doc_id"), "e0", "e1").limit(calibration).collect()
