@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,9 +51,12 @@ def drop_stored(*tables: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """A row id that is the same in every scan of a stored table (no filter may stand below it)."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+def wrapped(df: DataFrame) -> DataFrame:
+    """(rest, row): each row whole in a struct, where its names clash with none, and a row id.
+
+    The id is the same in every scan of a stored table; no filter may stand below it.
+    """
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("rest"), F.monotonically_increasing_id().alias("row"))
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -63,9 +68,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def byte_column(batch: pa.RecordBatch, name: str, step: int = 256):
-    """(first row, list of bytes or None) for every ``step`` rows of a string column, whole values."""
-    col = batch.column(batch.schema.get_field_index(name))
-    for at in range(0, batch.num_rows, step):
-        part = col.slice(at, step)
-        yield at, part.cast(pa.large_binary() if pa.types.is_large_string(part.type) else pa.binary()).to_pylist()
+def byte_column(batch: pa.RecordBatch, name: str, step: int = 256, limit: int = 1 << 20):
+    """(first row, list of bytes or None) of a string column, whole values, in parts of few rows and bytes.
+
+    A part has at most ``step`` rows and ``limit`` bytes, or a single longer value.
+    """
+    col = batch.column(batch.schema.get_field_index(name.split(".")[0]))
+    if "." in name:  # of a struct
+        col = pc.struct_field(col, name.split(".")[1])
+    kind = pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()
+    upto = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        full = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + limit, "right"))
+        stop = min(at + step, max(at + 1, full), batch.num_rows)
+        yield at, col.slice(at, stop - at).cast(kind).to_pylist()
+        at = stop

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORDS, byte_column
+from .common import WORDS, byte_column, wrapped
 
 WINDOW = 10
 #: Benchmark words broadcast at once; a larger benchmark is handled in as many passes as it needs.
@@ -167,20 +167,11 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str,
     yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """All columns of ``docs`` and a struct ``_contamination``, one row per document, without a shuffle.
-
-    Its fields: n_words; spans, a flat list of [start, end) word spans inside an occurrence of a
-    ``window``-word window of an item (the whole item if it is shorter); n_hit; items, the sorted ids of
-    items with an occurring window; longest, the words of the longest verbatim match that opens with a
-    window, and longest_at, its place in the document and in the item.  A-Z is lower-cased and words are
-    runs of digits, a-z and non-ASCII characters.  Null or empty texts have no words; items with no
-    words, a null id or a null text match nothing; repeated rows are judged alike; an empty benchmark
-    hits nothing.
-    """
+def _probed(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(rest, state): each document whole, and what was found in it; a pass for each block of the benchmark."""
     sc = docs.sparkSession.sparkContext
-    kept = docs.columns
-    out = docs.withColumn("_probe", F.col("text").cast("string"))
+    out = wrapped(docs.withColumn("text", F.col("text").cast("string"))).select("rest")
+    state = T.StructField("state", T.StructType.fromDDL(STATE))
     for k, items in enumerate(_blocks(benchmark, block_words)):
         shared = sc.broadcast(TestSide(items, window))
 
@@ -188,7 +179,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
             test = shared.value
             for batch in batches:
                 rows, pending, size = [], [], 0
-                for _, part in byte_column(batch, "_probe", 64):
+                for _, part in byte_column(batch, "rest.text", 64):
                     pending += part
                     size += sum(len(t) for t in part if t)
                     if size >= SHARD_BYTES:
@@ -196,20 +187,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                         pending, size = [], 0
                 rows += _hits(pending, test)
                 if not first:
-                    before = batch.column(batch.schema.get_field_index("_state")).to_pylist()
+                    before = batch.column(1).to_pylist()
                     rows = [(r[0], _merged(b["spans"], r[1]), sorted({*b["items"], *r[2]}), *((r[3], r[4]) if r[3] > b["longest"] else (b["longest"], b["longest_at"]))) for b, r in zip(before, rows, strict=True)]
                 kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64(), pa.list_(pa.int64()))
-                names = ["n_words", "spans", "items", "longest", "longest_at"]
-                state = pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
-                own = [c for c in batch.schema.names if c != "_state"]
-                yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in own], state], [*own, "_state"])
-
-        fields = [f for f in out.schema.fields if f.name != "_state"]
-        out = out.mapInArrow(run, T.StructType([*fields, T.StructField("_state", T.StructType.fromDDL(STATE))]))
-    spans = F.col("_state.spans")
+                found = pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["n_words", "spans", "items", "longest", "longest_at"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), found], ["rest", "state"])
+
+        out = out.mapInArrow(run, T.StructType([out.schema["rest"], state]))
+    return out
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """All columns of ``docs`` and a struct ``_contamination``, one row per document, without a shuffle.
+
+    Its fields: n_words; spans, a flat list of [start, end) word spans inside an occurrence of a
+    ``window``-word window of an item (the whole item if it is shorter); n_hit; items, the sorted ids of
+    items with an occurring window; longest, the words of the longest verbatim match that opens with a
+    window, and longest_at, its place in the document and in the item.  A-Z is lower-cased and words are
+    runs of digits, a-z and non-ASCII characters.  Null or empty texts have no words; items with no
+    words, a null id or a null text match nothing; repeated rows are judged alike; an empty benchmark
+    hits nothing.
+    """
+    spans = F.col("state.spans")
     n_hit = F.aggregate(F.sequence(F.lit(0), F.shiftright(F.size(spans), 1) - 1), F.lit(0).cast("long"), lambda s, i: s + spans[2 * i + 1] - spans[2 * i])
     n_hit = F.when(F.size(spans) > 0, n_hit).otherwise(F.lit(0).cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in kept], F.struct("_state.*", n_hit.alias("n_hit")).alias(REPORT))
+    return _probed(docs, benchmark, window, block_words).select("rest.*", F.struct("state.*", n_hit.alias("n_hit")).alias(REPORT))
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -223,4 +225,4 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> Da
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a hit word, with the columns they came with."""
-    return contamination(docs, benchmark, **options).where(f"{REPORT}.n_hit = 0").select(*[f"`{c}`" for c in docs.columns])
+    return _probed(docs, benchmark, **options).where(F.size("state.spans") == 0).select("rest.*")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, byte_column, stored, with_row_id
+from .common import LOWER, byte_column, stored, wrapped
 from .components import connected_components
 
 SHINGLE, THRESHOLD = 8, 0.8
@@ -311,30 +311,26 @@ def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     stays null with no lines; an empty one has one blank line; repeated rows count as documents of
     their own; other columns pass through.  ``docs`` must be a stored table.
     """
-    rows = with_row_id(docs, "_row")
-    gone = line_removals(rows.select(F.col("_row").alias("row"), "doc_id", "text"), threshold).withColumnRenamed("row", "_gone_row").withColumnRenamed("removed", "_removed")
-    joined = rows.join(gone, F.col("_row") == F.col("_gone_row"), "left").drop("_row", "_gone_row").withColumn("_before", F.col("text").cast("string"))
+    rows = wrapped(docs.withColumn("text", F.col("text").cast("string")))
+    gone = line_removals(rows.select("row", "rest.doc_id", "rest.text"), threshold).withColumnRenamed("row", "of_row")
+    joined = rows.join(gone, F.col("row") == F.col("of_row"), "left").select("rest", F.coalesce("removed", F.array().cast("array<struct<line:int,kept_in:bigint>>")).alias("removed"))
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            removed = batch.column(names.index("_removed"))
+            rest, removed = batch.column(0), batch.column(1)
             texts, n, kept = [], [], []
-            for at, part in byte_column(batch, "_before"):
+            for at, part in byte_column(batch, "rest.text"):
                 for text, own in zip(part, removed.slice(at, len(part)).to_pylist(), strict=True):
                     lines = text.count(b"\n") + 1 if text is not None else 0
-                    gone = {r["line"] for r in own or ()}
+                    gone = {r["line"] for r in own}
                     texts.append(b"\n".join([x for k, x in enumerate(text.split(b"\n")) if k not in gone]) if gone else text)
                     n.append(lines)
                     kept.append(lines - len(gone))
-            new = pa.array(texts, pa.binary()).cast(batch.column(names.index("_before")).type)
-            own = [c for c in names if c not in ("_removed", "_before")]
-            columns = [new if c == "text" else batch.column(names.index(c)) for c in own]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(kept, pa.int64()), removed], [*own, "_n_lines", "_n_kept", "_removed"])
-
-    fields = [T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields]
-    more = [T.StructField("_n_lines", T.LongType()), T.StructField("_n_kept", T.LongType()), joined.schema["_removed"]]
-    made = joined.mapInArrow(rebuilt, T.StructType([*fields, *more]))
-    removed = F.coalesce("_removed", F.array().cast("array<struct<line:int,kept_in:bigint>>"))
-    info = F.struct(F.col("_n_lines").alias("n_lines"), F.col("_n_kept").alias("n_kept"), removed.alias("removed"))
-    return made.select(*[F.col(f"`{c}`") for c in docs.columns], info.alias("_lines"))
+            names = [f.name for f in rest.type]
+            parts = dict(zip(names, rest.flatten(), strict=True))
+            parts["text"] = pa.array(texts, pa.binary()).cast(parts["text"].type)
+            info = pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(kept, pa.int64()), removed], ["n_lines", "n_kept", "removed"])
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(list(parts.values()), names), info], ["rest", "lines"])
+
+    info = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_kept", T.LongType()), joined.schema["removed"]])
+    return joined.mapInArrow(rebuilt, T.StructType([joined.schema["rest"], T.StructField("lines", info)])).select("rest.*", F.col("lines").alias("_lines"))

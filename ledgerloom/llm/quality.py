@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import byte_column, fold
+from .common import byte_column, fold, wrapped
 
 #: Hashed n-gram indicators.
 DIMENSIONS = 1 << 18
@@ -174,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int
 
 
 def scored(docs: DataFrame, model: SupportVectors | None) -> DataFrame:
-    """``docs`` and ``_score`` (0 to 1, higher: better) of every whole text, without a shuffle.
+    """(rest, score) of every document: its row whole, and 0 to 1 (higher: better) of its whole text; no shuffle.
 
     Null and empty texts have no indicators and get the score of a zero margin, as every text does
     (0.5) where nothing was labelled.  Other columns pass through and are never read.
@@ -184,22 +185,19 @@ def scored(docs: DataFrame, model: SupportVectors | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, scratch = shared.value, np.zeros(DIMENSIONS, np.int64)
         for batch in batches:
-            scores = [model.score(features(t, scratch)) if model else 0.5 for _, part in byte_column(batch, "_probe") for t in part]
-            own = [i for i, c in enumerate(batch.schema.names) if c != "_probe"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in own], pa.array(scores, pa.float64())], [*[batch.schema.names[i] for i in own], "_score"])
+            scores = [model.score(features(t, scratch)) if model else 0.5 for _, part in byte_column(batch, "rest.text") for t in part]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["rest", "score"])
 
-    from pyspark.sql import types as T
-
-    out = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
-    return docs.withColumn("_probe", F.col("text").cast("string")).mapInArrow(run, out)
+    rows = wrapped(docs.withColumn("text", F.col("text").cast("string"))).select("rest")
+    return rows.mapInArrow(run, T.StructType([rows.schema["rest"], T.StructField("score", T.DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out (fold 0: its labels are never learnt), score, predicted (1: score >= ``threshold``)."""
     out = scored(docs.select("doc_id", "text"), fit(docs, labels, sample=sample))
-    return out.select("doc_id", (fold() == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    return out.select("rest.doc_id", "score").select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier doesn't reject, with the columns they came with."""
-    return scored(docs, fit(docs, labels, sample=sample)).where(F.col("_score") >= threshold).drop("_score")
+    return scored(docs, fit(docs, labels, sample=sample)).where(F.col("score") >= threshold).select("rest.*")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_column, stored, with_row_id
+from .common import LOWER, byte_column, stored, wrapped
 from .components import connected_components
 
 WIDTH, MAX_BITS, SEED = 4, 4, 42
@@ -37,7 +37,7 @@ def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, row: str) -> DataFrame:
+def fingerprints(docs: DataFrame) -> DataFrame:
     """(row, doc_id, fp long) of every document, computed over whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,7 +45,8 @@ def fingerprints(docs: DataFrame, row: str) -> DataFrame:
             fps = [fingerprint(t) for _, part in byte_column(batch, "text") for t in part]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], ["row", "doc_id", "fp"])
 
-    return docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, doc_id long, fp long")
+    rows = wrapped(docs.select("doc_id", "text"))
+    return rows.select("row", F.col("rest.doc_id").cast("long").alias("doc_id"), F.col("rest.text").cast("string").alias("text")).mapInArrow(run, "row long, doc_id long, fp long")
 
 
 def covering_triples(size: int = 8, parts: int = 3) -> list[tuple[int, int, int]]:
@@ -153,7 +154,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     never expanded to pairs.  Other columns are not read.  ``docs`` must be a stored table: ``row``
     numbers its rows and is the same in each scan.
     """
-    marks = stored(fingerprints(with_row_id(docs.select("doc_id", "text"), "_row"), "_row"))
+    marks = stored(fingerprints(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     distinct = stored(marks.groupBy("fp").agg(first.alias("first")))
     part = connected_components(fingerprint_links(distinct.select("fp")))
@@ -165,5 +166,5 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
     """The documents, one of each component, with the columns they came with."""
-    keep = simhash_components(docs).where("keeper").select("row").withColumnRenamed("row", "_kept_row")
-    return with_row_id(docs, "_doc_row").join(keep, F.col("_doc_row") == F.col("_kept_row"), "left_semi").drop("_doc_row")
+    keep = simhash_components(docs).where("keeper").select(F.col("row").alias("kept"))
+    return wrapped(docs).join(keep, F.col("row") == F.col("kept"), "left_semi").select("rest.*")

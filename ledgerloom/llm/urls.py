@@ -55,12 +55,13 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFr
     (host, path) pairs are judged once; keys are dealt out by a hash of their pair, and the rules (a
     policy, not data: rows times partitions) to each part, so no host is swept in one task.  Null,
     empty and malformed urls have an empty host and path and no rule; empty rules judge by ``default``;
-    repeated pages stay; other columns pass through.
+    repeated pages stay; other columns pass through (those named as the four added ones are replaced).
     """
     spark = pages.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     host, path = host_and_path(F.col("url"))
-    pages = pages.withColumns({"_host": host, "_path": path})
+    added = ("_host", "_path", "_rule", "_verdict")
+    pages = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in added]).alias("rest"), host.alias("_host"), path.alias("_path"))
     pairs = pages.select("_host", "_path").distinct().withColumn("_part", F.pmod(F.xxhash64("_host", "_path"), F.lit(parts)).cast("int"))
     labels = F.split("_host", r"\.", -1)
     suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.slice(labels, F.size(labels) - n + 1, n)))
@@ -76,7 +77,7 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFr
     best = swept.withColumn("rule", F.when(F.size(F.filter("open", lambda r: F.startswith("key", r["prefix"]))) > 0, rule)).groupBy("_part", "_host", "_path").agg(F.max("rule").alias("rule"))
     best = best.where("rule is not null").select(F.col("_host").alias("_of_host"), F.col("_path").alias("_of_path"), F.col("rule.name").alias("_rule"), F.col("rule.verdict").alias("_found"))
     out = pages.join(best, (F.col("_host") == F.col("_of_host")) & (F.col("_path") == F.col("_of_path")), "left")
-    return out.withColumn("_verdict", F.coalesce("_found", F.lit(default))).drop("_of_host", "_of_path", "_found")
+    return out.select("rest.*", "_host", "_path", "_rule", F.coalesce("_found", F.lit(default)).alias("_verdict"))
 
 
 def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
