@@ -35,6 +35,7 @@ def test_query(spark, duck, name):
 
 def test_pushdown(spark, tmp_path):
     plans.queries()["chain_logs"](spark, SF).write.parquet(f"{tmp_path}/logs")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # else the plan's text is cut
     where = LogFilter(address=Clause.any_of(plans.ADDRS), topic0=Clause.one("NO"))
     plan = page(spark.read.parquet(f"{tmp_path}/logs"), where, "log_id", 10, 1, 5).select("log_id", "address")._jdf.queryExecution().toString()
     assert "In(address" in plan and "EqualTo(topic0,NO)" in plan and "TakeOrderedAndProject" in plan
