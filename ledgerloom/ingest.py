@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +76,45 @@ class PublicationStore:
         return new
 
 
+class HadoopPublicationStore:
+    """The same record on any Hadoop file system: a version is renamed into place, which fails where it exists.
+
+    HDFS renames atomically; an object store must offer conditional writes instead.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._jvm = spark._jvm.org.apache.hadoop.fs
+        self.fs = self._jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.fs.mkdirs(self._jvm.Path(path))
+
+    def load(self) -> Publication | None:
+        names = [x.getPath().getName() for x in self.fs.listStatus(self._jvm.Path(self.path))]
+        names = [n for n in names if n.endswith(".json") and not n.startswith(".")]
+        if not names:
+            return None
+        raw = json.loads(self.spark.read.text(f"{self.path}/{max(names)}", wholetext=True).first()[0])
+        return Publication(**raw | {"next_ids": tuple((k, v) for k, v in raw["next_ids"])})
+
+    def compare_and_set(self, expected: int, new: Publication) -> Publication:
+        now = self.load()
+        if (now.version if now else 0) != expected:
+            raise CasConflict(f"version {now.version if now else 0} is not {expected}")
+        new = replace(new, version=expected + 1)
+        own, name = (self.fs.makeQualified(self._jvm.Path(f"{self.path}/{n}")) for n in (f".{uuid.uuid4().hex}", f"{new.version:020d}.json"))
+        out = self.fs.create(own, False)
+        out.write(bytearray(json.dumps(asdict(new)).encode()))
+        out.close()
+        jvm = self.spark._jvm
+        context = self._jvm.FileContext.getFileContext(name.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(own, name, self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))  # never over what is there
+        except Py4JJavaError:
+            self.fs.delete(own, False)
+            raise CasConflict(f"version {new.version} is there already") from None
+        return new
+
+
 class LeaseAuthority:
     """Right to write, measured in observed upstream blocks: valid through observed + lease - 1."""
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParams
@@ -52,9 +53,19 @@ def derived_seed(seed: int, domain: str) -> str:
     return hashlib.sha256(seed.to_bytes(8, "little") + domain.encode()).hexdigest()
 
 
-def pool(stats: DataFrame, key_type: str) -> DataFrame:
-    """One row: the sorted keys of a type.  Pools are bounded by the top-k of the statistics they come from."""
-    return stats.where(F.col("key_type") == key_type).agg(F.sort_array(F.collect_list("key_value")).alias(key_type))
+#: Keys are numbered in the order of so many hex digits of their sha256, then by key: 4,096 buckets to count.
+DIGITS = 3
+
+
+def indexed_keys(stats: DataFrame, kinds: tuple[str, ...] = ("address", "topic0")) -> DataFrame:
+    """(kind, key, at): the distinct keys of each type, numbered from 0; any number of keys, as none is collected."""
+    bucket = F.substring(F.sha2("key", 256), 1, DIGITS)
+    keys = stats.where(F.col("key_type").isin(*kinds)).select(F.col("key_type").alias("kind"), F.col("key_value").alias("key")).distinct().withColumn("bucket", bucket)
+    counts = keys.groupBy("kind", "bucket").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("kind").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    firsts = counts.select("kind", "bucket", (upto - F.col("n")).alias("first"))
+    place = F.row_number().over(Window.partitionBy("kind", "bucket").orderBy("key")) - 1
+    return keys.withColumn("place", place).join(F.broadcast(firsts), ["kind", "bucket"]).select("kind", "key", (F.col("first") + F.col("place")).alias("at"))  # 16 ** DIGITS rows a type at most
 
 
 def pick(u: Column, low: Column, high: Column) -> Column:
@@ -71,41 +82,50 @@ def template_of(u: Column, mix: list[float]) -> Column:
     return out.otherwise(TEMPLATES[-1])
 
 
-def traces(spark: SparkSession, pools: DataFrame, start: int, end: int, missing: list[tuple[int, int]] = (), config: Config | None = None) -> DataFrame:
-    """Trace entries of all profiles; ``pools`` has one row of key arrays ``address`` and ``topic0``.
+def traces(spark: SparkSession, stats: DataFrame, start: int, end: int, missing: list[tuple[int, int]] = (), config: Config | None = None) -> DataFrame:
+    """Trace entries of all profiles; ``stats(key_type, key_value)`` names the addresses and topics to draw from.
 
-    Draws are hashes of (seed, profile, id, name): the same traces on any number of partitions.
+    Draws are hashes of (seed, profile, id, name): the same traces on any number of partitions.  A
+    drawn number finds its key by a join, so the keys need not fit in one place.
     """
     config = (config or Config()).validate()
-    n = max(1, int(config.trace_size_per_profile * config.scale_factor + 0.5))
-    out = None
-    for profile, p in config.profiles.items():
-        d = lambda what, profile=profile: draw(config.seed, F.lit(profile), F.col("n"), F.lit(what))
-        low, high = p["widths"]
-        total = end - start + 1
-        most = min(p["span"][1] or total, total)
-        span = pick(d("span"), long(min(p["span"][0], most)), long(most))
-        rows = spark.range(n).withColumnRenamed("id", "n").select("n", template_of(d("template"), p["mix"]).alias("template"), span.alias("span"), pick(d("a_width"), long(low), long(high)).alias("aw"), pick(d("t_width"), long(low), long(high)).alias("tw"))
-        first = pick(d("start"), long(start), long(end) - F.col("span") + 1)
-        width = lambda one, many, c: F.when(F.col("template").isin(one), long(1)).when(F.col("template").isin(many), F.col(c)).otherwise(long(0))
-        rows = rows.select("n", "template", first.alias("from_block"), (first + F.col("span") - 1).alias("to_block"), "span", width(["single_address", "address_topic0"], ["multi_address", "compound"], "aw").alias("aw"), width(["single_topic0", "address_topic0"], ["multi_topic0", "compound"], "tw").alias("tw"))
-
-        def drawn(keys: str, width: str, what: str, profile=profile) -> Column:
-            at = lambda k: draw(config.seed, F.lit(profile), F.col("n"), F.lit(what), k)
-            picks = F.transform(F.sequence(long(1), F.col(width)), lambda k: F.get(F.col(keys), (at(k) % F.size(keys)).cast("int")))
-            return F.when((F.col(width) > 0) & (F.size(keys) > 0), picks).otherwise(F.array().cast("array<string>"))
-
-        rows = rows.join(F.broadcast(pools))  # one row
-        rows = rows.select("n", "template", "from_block", "to_block", "span", drawn("address", "aw", "address").alias("address_or"), drawn("topic0", "tw", "topic0").alias("topic0_or"))
-        gone = F.array(*[F.struct(long(a).alias("start"), long(b).alias("end")) for a, b in missing]) if missing else F.array().cast("array<struct<start:bigint,end:bigint>>")
-        empty = F.array().cast("array<string>")
-        rows = rows.select(
-            F.concat(F.lit(f"{profile}-"), F.lpad(F.col("n").cast("string"), 8, "0")).alias("id"), F.lit(profile).alias("profile"), "template", "from_block", "to_block", "address_or", "topic0_or",
-            empty.alias("topic1_or"), empty.alias("topic2_or"), empty.alias("topic3_or"), selectivity_bucket(estimated_selectivity(F.col("address_or"), F.col("topic0_or"), F.col("span"))).alias("expected_selectivity_bucket"),
-            coverage(F.col("from_block"), F.col("to_block"), gone).alias("observed_block_coverage_ratio"),
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    n = int(config.trace_size_per_profile * config.scale_factor + 0.5)
+    plans = [_plan(spark, profile, p, n, start, end, config.seed) for profile, p in config.profiles.items()]
+    rows = reduce(DataFrame.unionByName, plans)
+    keys = indexed_keys(stats)
+    total = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("at"))) + 1, long(0))
+    sizes = keys.agg(total("address").alias("address"), total("topic0").alias("topic0"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(w).alias("width"), F.col(k).alias("size")) for k, w in (("address", "aw"), ("topic0", "tw"))])
+    draws = rows.join(F.broadcast(sizes)).select("profile", "n", F.inline(wanted)).where("width > 0 and size > 0")  # one row of sizes
+    draws = draws.select("profile", "n", "kind", "size", F.explode(F.sequence(long(1), F.col("width"))).alias("k"))
+    draws = draws.select("profile", "n", "kind", "k", (draw(config.seed, F.col("profile"), F.col("n"), F.col("kind"), F.col("k")) % F.col("size")).alias("at"))
+    found = draws.join(keys, ["kind", "at"]).groupBy("profile", "n")
+    in_order = lambda kind: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("k", "key")))), lambda x: x["key"])
+    lists = found.agg(in_order("address").alias("address_or"), in_order("topic0").alias("topic0_or"))  # at most as long as the OR widths
+    gone = F.array(*[F.struct(long(a).alias("start"), long(b).alias("end")) for a, b in missing]) if missing else F.array().cast("array<struct<start:bigint,end:bigint>>")
+    empty = F.array().cast("array<string>")
+    rows = rows.join(lists, ["profile", "n"], "left").withColumns({c: F.coalesce(c, empty) for c in ("address_or", "topic0_or")})
+    return rows.select(
+        F.concat("profile", F.lit("-"), F.lpad(F.col("n").cast("string"), 8, "0")).alias("id"), "profile", "template", "from_block", "to_block", "address_or", "topic0_or",
+        empty.alias("topic1_or"), empty.alias("topic2_or"), empty.alias("topic3_or"), selectivity_bucket(estimated_selectivity(F.col("address_or"), F.col("topic0_or"), F.col("span"))).alias("expected_selectivity_bucket"),
+        coverage(F.col("from_block"), F.col("to_block"), gone).alias("observed_block_coverage_ratio"),
+    )
+
+
+def _plan(spark: SparkSession, profile: str, p: dict, n: int, start: int, end: int, seed: int) -> DataFrame:
+    """(profile, n, template, from_block, to_block, span, aw, tw): all of a profile's traces but their keys."""
+    d = lambda what: draw(seed, F.lit(profile), F.col("n"), F.lit(what))
+    low, high = p["widths"]
+    total = end - start + 1
+    most = min(p["span"][1] or total, total)
+    span = pick(d("span"), long(min(p["span"][0], most)), long(most))
+    rows = spark.range(n).withColumnRenamed("id", "n").select("n", template_of(d("template"), p["mix"]).alias("template"), span.alias("span"), pick(d("a_width"), long(low), long(high)).alias("aw"), pick(d("t_width"), long(low), long(high)).alias("tw"))
+    first = pick(d("start"), long(start), long(end) - F.col("span") + 1)
+    width = lambda one, many, c: F.when(F.col("template").isin(one), long(1)).when(F.col("template").isin(many), F.col(c)).otherwise(long(0))
+    return rows.select(
+        F.lit(profile).alias("profile"), "n", "template", first.alias("from_block"), (first + F.col("span") - 1).alias("to_block"), "span",
+        width(["single_address", "address_topic0"], ["multi_address", "compound"], "aw").alias("aw"), width(["single_topic0", "address_topic0"], ["multi_topic0", "compound"], "tw").alias("tw"),
+    )
 
 
 def replay_counts(traces: DataFrame, logs: DataFrame, block_col: str = "block_num") -> DataFrame:

@@ -8,12 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import CasConflict
 from ..functions import compose_id, coverage, local_of, long, page_of, selectivity_bucket, shard_of, stream_id
+from ..ingest import HadoopPublicationStore, Publication
 from ..operators import postings, stats, workload
 from ..operators.clause import Clause, LogFilter, TraceFilter, TxFilter, page
 from ..operators.ids import block_windows, bucket_starts, contiguous_runs, id_window, resolve_ids
+from ..scratch import materialized, scratch_path
 from ..service import blocks_with_txs, related, transfers, with_block_refs
-from ..sources import rlp, testdata
+from ..sources import artifacts, rlp, testdata
+from ..sources.events import flattened_logs, rebased
 from ..streaming import accepted, first_error
 
 ADDRS = [f"{i:040x}" for i in (1, 2, 3)]
@@ -108,10 +112,9 @@ def _shards(s: SparkSession, d: str) -> DataFrame:
 def _workload_rows(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     logs = _logs(s, d)
     ends = logs.agg(F.min("block_num"), F.max("block_num")).first()
-    made = stats.top_pairs(stats.cooccurrence(logs), 200)
-    keys = made.where("pair_type = 'address_topic0'").select(F.inline(F.array(*[F.struct(F.lit(k).alias("key_type"), F.col(c).alias("key_value")) for k, c in (("address", "left_key"), ("topic0", "right_key"))]))).distinct()
-    pools = workload.pool(keys, "address").join(F.broadcast(workload.pool(keys, "topic0")))
-    return workload.traces(s, pools, ends[0], ends[1], config=workload.Config(seed=7, trace_size_per_profile=200)), logs
+    made = stats.top_pairs(stats.cooccurrence(logs), 200).where("pair_type = 'address_topic0'")
+    keys = made.select(F.inline(F.array(*[F.struct(F.lit(k).alias("key_type"), F.col(c).alias("key_value")) for k, c in (("address", "left_key"), ("topic0", "right_key"))])))
+    return workload.traces(s, materialized(keys), ends[0], ends[1], config=workload.Config(seed=7, trace_size_per_profile=200)), logs
 
 
 def _workload(s: SparkSession, d: str) -> DataFrame:
@@ -120,7 +123,8 @@ def _workload(s: SparkSession, d: str) -> DataFrame:
 
 
 def _replay(s: SparkSession, d: str) -> DataFrame:
-    return workload.replay_counts(*_workload_rows(s, d))
+    traces, logs = _workload_rows(s, d)
+    return workload.replay_counts(materialized(traces), logs)
 
 
 def _outcome(s: SparkSession, d: str) -> DataFrame:
@@ -138,6 +142,46 @@ def _sealed(s: SparkSession, d: str) -> DataFrame:
     return bucket_starts(0, last, 10_000, s)
 
 
+def _artifacts(s: SparkSession, d: str) -> DataFrame:
+    """Statistics written in their fixed schemas and read back."""
+    logs, blocks, folder = _logs(s, d), testdata.event_blocks(s, d), scratch_path(s)
+    tables = {"key_stats": stats.key_stats(logs), "cooccurrence": stats.top_pairs(stats.cooccurrence(logs), 50), "range_stats": stats.logs_per_block(blocks)}
+    artifacts.write_stats(tables, folder)
+    n = lambda name, df, first, count: df.agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"), F.sum(count).alias("total"), F.min(first).alias("first"))
+    got = artifacts.read_stats(s, folder)
+    return n("key_stats", got["key_stats"], "key_value", "count_total").union(n("cooccurrence", got["cooccurrence"], "left_key", "count_total")).union(n("range_stats", got["range_stats"], "metric", "count"))
+
+
+def _trace_files(s: SparkSession, d: str) -> DataFrame:
+    """Traces written as JSON lines and loaded again: traces and blocks of each profile."""
+    made, folder = _workload_rows(s, d)[0], scratch_path(s)
+    artifacts.write_traces(made, folder)
+    got = artifacts.load_traces(s, folder)
+    return got.groupBy("profile").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.sum(F.col("to_block") - F.col("from_block") + 1).alias("blocks"))
+
+
+def _flattened(s: SparkSession, d: str) -> DataFrame:
+    """Logs nested into receipts and flattened again."""
+    logs = _logs(s, d)
+    entry = F.struct("address", F.filter(F.array("topic0", "topic1", "topic2", "topic3"), lambda t: t.isNotNull()).alias("topics"))
+    per_tx = logs.groupBy("block_num", "tx_idx").agg(F.min("log_idx").alias("starting_log_index"), F.sort_array(F.collect_list(F.struct("log_idx", entry.alias("log")))).alias("logs"))
+    receipts = per_tx.groupBy("block_num").agg(F.sort_array(F.collect_list(F.struct("tx_idx", "starting_log_index", F.col("logs.log").alias("logs")))).alias("receipts"))
+    return flattened_logs(receipts.withColumnRenamed("block_num", "block_number"))
+
+
+def _cas(s: SparkSession, d: str) -> DataFrame:
+    """Two writers that saw the same version of the publication record: one wins."""
+    store = HadoopPublicationStore(s, f"{scratch_path(s)}/publication")
+    head = testdata.blocks(s, d).agg(F.max("block_num")).first()[0]
+    rows = []
+    for who, seen in (("a", 0), ("b", 0), ("b", 1)):
+        try:
+            rows.append((who, seen, store.compare_and_set(seen, Publication(head=head, owner=who)).version))
+        except CasConflict:
+            rows.append((who, seen, None))
+    return s.createDataFrame(rows, "writer string, seen long, published long").withColumn("head", long(store.load().head))
+
+
 def _rlp(s: SparkSession, d: str) -> DataFrame:
     """Legacy transactions made of the orders, encoded and decoded again."""
 
@@ -218,5 +262,10 @@ def queries() -> dict[str, Query]:
         "sealed_buckets": _sealed,
         "workload_traces": _workload,
         "replay_counts": _replay,
+        "stats_artifacts": _artifacts,
+        "trace_artifacts": _trace_files,
+        "event_flattening": _flattened,
+        "renumbered_blocks": lambda s, d: rebased(t.blocks(s, d), 101).select("block_num", "block_hash", "parent_hash"),
+        "publication_cas": _cas,
         "rlp_decode": _rlp,
     }

@@ -123,6 +123,9 @@ SELECT share, v AS value FROM (VALUES (0.5::DOUBLE), (0.95), (0.99), (1.0)) p(sh
     "ingest_outcome": "SELECT (SELECT count(*) FROM logs) AS written_logs, (SELECT count(*) FROM txs) AS written_txs, (SELECT count(*) FROM traces) AS written_traces",
     "key_prefix_listing": "SELECT DISTINCT address AS key FROM logs WHERE starts_with(address, '000000000000000000000000000000000000000') AND address > '0000000000000000000000000000000000000002' ORDER BY 1 LIMIT 5",
     "linkage_check": "SELECT count(*) AS blocks, CAST(sum(CASE WHEN prev IS NOT NULL AND prev <> parent_hash THEN 1 ELSE 0 END) AS BIGINT) AS broken FROM (SELECT parent_hash, lag(block_hash) OVER (ORDER BY block_num) AS prev FROM blocks)",
+    "event_flattening": """SELECT block_num AS block_number, dense_rank() OVER (PARTITION BY block_num ORDER BY tx_idx) - 1 AS tx_index, log_idx AS log_index, address, topic0, topic1, topic2, topic3 FROM logs""",
+    "renumbered_blocks": "SELECT block_num - 100 AS block_num, block_hash, CASE WHEN block_num = 101 THEN repeat('0', 64) ELSE parent_hash END AS parent_hash FROM blocks WHERE block_num > 100",
+    "publication_cas": "SELECT writer, seen, published, (SELECT max(block_num) FROM blocks) AS head FROM (VALUES ('a', 0::BIGINT, 1::BIGINT), ('b', 0, NULL), ('b', 1, 2)) v(writer, seen, published)",
     "sealed_buckets": "SELECT unnest(generate_series(0, (SELECT max(log_id) + 1 FROM logs) // 10000 - 1)) * 10000 AS start",
 }
 
@@ -131,7 +134,8 @@ def _draw(profile: str, name: str, k: str = "") -> str:
     return f"CAST('0x' || substr(sha256(concat_ws(':', '7', '{profile}', CAST(n AS VARCHAR), '{name}'{k})), 1, 12) AS BIGINT)"
 
 
-def _workload() -> str:
+def _workload() -> tuple[str, str, str]:
+    """SQL of the traces, of what each profile's files hold, and of the size of each trace's result."""
     from ..operators.workload import PROFILES, TEMPLATES
 
     parts = []
@@ -147,13 +151,30 @@ def _workload() -> str:
   SELECT *, CASE {" ".join(cases)} ELSE 'compound' END AS template FROM (
   SELECT n, '{profile}' AS profile, s, e, {_draw(profile, "template")} AS ut, {_draw(profile, "start")} AS us, {pick(_draw(profile, "span"), f"least({p['span'][0]}, {most})", most)} AS span,
     {pick(_draw(profile, "a_width"), low, high)} AS aw, {pick(_draw(profile, "t_width"), low, high)} AS tw FROM r, (SELECT unnest(generate_series(0, 199)) AS n))))""")
-    return ", r AS (SELECT min(block_num) AS s, max(block_num) AS e FROM logs), u AS (" + " UNION ALL ".join(parts) + """)
-SELECT concat(profile, '-', lpad(CAST(n AS VARCHAR), 8, '0')) AS id, profile, template, from_block, to_block,
-  CASE WHEN template IN ('single_address', 'address_topic0') THEN 1 WHEN template IN ('multi_address', 'compound') THEN aw ELSE 0 END AS n_addresses,
-  CASE WHEN template IN ('single_topic0', 'address_topic0') THEN 1 WHEN template IN ('multi_topic0', 'compound') THEN tw ELSE 0 END AS n_topics FROM u"""
+    drawn = ", r AS (SELECT min(block_num) AS s, max(block_num) AS e FROM logs), u AS (" + " UNION ALL ".join(parts) + ")\n"
+    widths = """CASE WHEN template IN ('single_address', 'address_topic0') THEN 1 WHEN template IN ('multi_address', 'compound') THEN aw ELSE 0 END AS n_addresses,
+  CASE WHEN template IN ('single_topic0', 'address_topic0') THEN 1 WHEN template IN ('multi_topic0', 'compound') THEN tw ELSE 0 END AS n_topics"""
+    name = "concat(profile, '-', lpad(CAST(n AS VARCHAR), 8, '0')) AS id"
+    replayed = f""", t AS (SELECT {name}, *, {widths} FROM u),
+pairs AS ({QUERIES["cooccurrence_topk"].replace("rank <= 50", "rank <= 200")}),
+pool AS (SELECT kind, key, row_number() OVER (PARTITION BY kind ORDER BY substr(sha256(key), 1, 3), key) - 1 AS at, count(*) OVER (PARTITION BY kind) AS size FROM (
+  SELECT DISTINCT 'address' AS kind, left_key AS key FROM pairs WHERE pair_type = 'address_topic0' UNION ALL SELECT DISTINCT 'topic0', right_key FROM pairs WHERE pair_type = 'address_topic0')),
+wanted AS (SELECT id, profile, n, 'address' AS kind, unnest(generate_series(1, n_addresses)) AS k FROM t UNION ALL SELECT id, profile, n, 'topic0', unnest(generate_series(1, n_topics)) FROM t),
+drawn AS (SELECT DISTINCT id, w.kind, key FROM wanted w JOIN (SELECT DISTINCT kind, size FROM pool) s USING (kind)
+  JOIN pool p ON p.kind = w.kind AND p.at = CAST('0x' || substr(sha256(concat_ws(':', '7', profile, CAST(n AS VARCHAR), w.kind, CAST(k AS VARCHAR))), 1, 12) AS BIGINT) % s.size),
+hits AS (
+  SELECT t.id FROM t JOIN drawn a ON a.id = t.id AND a.kind = 'address' JOIN logs l ON l.address = a.key AND l.block_num BETWEEN from_block AND to_block
+  WHERE n_topics = 0 OR EXISTS (SELECT 1 FROM drawn b WHERE b.id = t.id AND b.kind = 'topic0' AND b.key = l.topic0)
+  UNION ALL SELECT t.id FROM t JOIN drawn b ON b.id = t.id AND b.kind = 'topic0' JOIN logs l ON l.topic0 = b.key AND l.block_num BETWEEN from_block AND to_block WHERE n_addresses = 0)
+SELECT t.id, count(h.id) AS matches FROM t LEFT JOIN hits h ON h.id = t.id GROUP BY 1"""
+    listed = f"SELECT {name}, profile, template, from_block, to_block, {widths} FROM u"
+    return drawn + listed, drawn + "SELECT profile, count(*) AS n, min(n) AS low, max(n) AS high, CAST(sum(to_block - from_block + 1) AS BIGINT) AS blocks FROM u GROUP BY 1", drawn + replayed
 
 
 def oracle_sql() -> dict[str, str]:
     out = {k: BASE + v for k, v in QUERIES.items()}
-    out["workload_traces"] = BASE + _workload()
+    out["workload_traces"], out["trace_artifacts"], out["replay_counts"] = (BASE + q for q in _workload())
+    part = lambda name, sql, first, n: f"SELECT '{name}' AS name, count(*) AS n_rows, CAST(sum({n}) AS BIGINT) AS total, min({first}) AS first FROM s{name}"
+    tables = [("key_stats", QUERIES["key_stats_all"], "key_value", "count_total"), ("cooccurrence", QUERIES["cooccurrence_topk"], "left_key", "count_total"), ("range_stats", QUERIES["hist_logs_per_block"], "metric", "count")]
+    out["stats_artifacts"] = BASE + "".join(f", s{n} AS ({sql})" for n, sql, _, _ in tables) + " UNION ALL ".join(part(*t) for t in tables)
     return out

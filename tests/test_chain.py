@@ -171,7 +171,8 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_workload(spark):
-    pools = spark.createDataFrame([(["a", "b", "c"], ["t", "u"])], "address array<string>, topic0 array<string>")
+    pools = spark.createDataFrame([("address", k) for k in "abc"] + [("topic0", "t"), ("topic0", "u"), ("topic0", "u"), ("topic1", "x")], "key_type string, key_value string")
+    assert sorted(tuple(r) for r in workload.indexed_keys(pools).groupBy("kind").agg(F.sort_array(F.collect_list("at")).cast("string")).collect()) == [("address", "[0, 1, 2]"), ("topic0", "[0, 1]")]
     config = workload.Config(seed=3, trace_size_per_profile=50)
     made = lambda df: sorted(map(str, df.collect()))
     one_part = workload.traces(spark, pools, 100, 500, [(250, 300)], config)
