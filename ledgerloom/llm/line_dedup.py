@@ -65,18 +65,39 @@ def shingles(line: bytes) -> np.ndarray:
     return np.unique(h[: max(1, len(chars) - SHINGLE + 1)]) if len(chars) else np.zeros(0, np.uint64)
 
 
-def band_keys(lines: list[bytes]) -> np.ndarray:
-    """(lines, BANDS) keys from one-permutation MinHash with ROWS * BANDS bins, empty ones densified."""
-    bins = BANDS * ROWS
+def _line_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes of all lines, end to end, shingles of each line); those of shorter lines also hash what follows."""
     text = "\n".join([b"\n".join(lines).decode("utf-8", "replace"), ""])
     chars = np.frombuffer(text.encode("utf-32-le"), "<u4")
     end = np.flatnonzero(chars == 10)
     begin = np.concatenate([[0], end[:-1] + 1])
     n = np.maximum(end - begin - SHINGLE + 1, 1)
-    h = _shingle_hashes(chars)
-    line = np.repeat(np.arange(len(lines)), n)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin, n)
-    h = h[at]
+    return _shingle_hashes(chars)[at], n
+
+
+def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """:func:`shingles` of many lines at once; none may hold a newline."""
+    if not lines:
+        return []
+    h, n = _line_hashes(lines)
+    edge = np.cumsum(n)
+    for a, b in zip((edge - n).tolist(), edge.tolist(), strict=True):
+        h[a:b].sort()
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    new[edge[:-1]] = True
+    kept = np.cumsum(np.add.reduceat(new.view(np.int8), edge - n, dtype=np.int64))
+    sets = np.split(h[new], kept[:-1])
+    for i in np.flatnonzero(n == 1).tolist():
+        sets[i] = shingles(lines[i])
+    return sets
+
+
+def band_keys(lines: list[bytes]) -> np.ndarray:
+    """(lines, BANDS) keys from one-permutation MinHash with ROWS * BANDS bins, empty ones densified."""
+    bins = BANDS * ROWS
+    h, n = _line_hashes(lines)
+    line = np.repeat(np.arange(len(lines)), n)
     sig = np.full(len(lines) * bins, NONE)
     np.minimum.at(sig, line * bins + (((h >> np.uint64(40)) * np.uint64(bins)) >> np.uint64(24)).astype(np.int64), h & np.uint64((1 << 40) - 1))
     sig = sig.reshape(-1, bins)
@@ -206,14 +227,15 @@ def _verify(threshold: float):
         group, lids, sets = None, [], []
         for batch in batches:
             out = []
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            for key, lid, line in zip(keys, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if key != group:
-                    out += _jaccard_links(lids, sets, threshold) if len(lids) > 1 else []
-                    group, lids, sets = key, [], []
-                if not lids or lids[-1] != lid:  # the same line from another task
-                    lids.append(lid)
-                    sets.append(shingles(line.encode()))
+            for at, part in byte_column(batch, "line"):
+                rows = zip(*(batch.column(i).slice(at, len(part)).to_pylist() for i in range(3)), shingle_sets(part), strict=True)
+                for component, pair, lid, own in rows:
+                    if (component, pair) != group:
+                        out += _jaccard_links(lids, sets, threshold) if len(lids) > 1 else []
+                        group, lids, sets = (component, pair), [], []
+                    if not lids or lids[-1] != lid:  # the same line from another task
+                        lids.append(lid)
+                        sets.append(own)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["u", "v"])
         out = _jaccard_links(lids, sets, threshold) if len(lids) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["u", "v"])
