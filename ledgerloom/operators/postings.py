@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Ids of one bitmap: what Spark's fixed bitmaps of 4 KB hold.
 BUCKET = 32_768
+#: Bytes of a bitmap that are looked at together when its ids are listed.
+CHUNK = 64
 
 
 def fan_out(rows: DataFrame, id_col: str, kinds: dict[str, Column]) -> DataFrame:
@@ -56,10 +58,12 @@ def intersection_of(parts: list[DataFrame]) -> DataFrame:
 
 
 def ids_of(bitmaps: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(row_id) of the set bits, found in the JVM: bytes that aren't zero, then their bits."""
-    at = F.explode(F.sequence(F.lit(0), F.lit(bucket // 8 - 1)))
-    byte = F.conv(F.substring(F.hex("bits"), 2 * F.col("at") + 1, F.lit(2)), 16, 10).cast("int")
-    rows = bitmaps.select("bucket", "bits", at.alias("at")).select("bucket", "at", byte.alias("byte")).where("byte <> 0")
+    """(row_id) of the set bits, found in the JVM: chunks that aren't zero, then their bytes, then their bits."""
+    size = bucket // 8 // CHUNK
+    chunks = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda c: F.struct(c.alias("chunk"), F.substring(F.col("bits"), c * CHUNK + 1, F.lit(CHUNK)).alias("part")))
+    rows = bitmaps.select("bucket", F.inline(chunks)).where(F.col("part") != F.unhex(F.lit("00" * CHUNK)))
+    byte = F.conv(F.substring(F.hex("part"), 2 * F.col("at") + 1, F.lit(2)), 16, 10).cast("int")
+    rows = rows.select("bucket", "chunk", "part", F.explode(F.sequence(F.lit(0), F.lit(CHUNK - 1))).alias("at")).select("bucket", (F.col("chunk") * CHUNK + F.col("at")).alias("at"), byte.alias("byte")).where("byte <> 0")
     bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda b: F.getbit(F.col("byte"), b) == 1))
     return rows.select("bucket", "at", bit.alias("bit")).select((F.col("bucket") * bucket + F.col("at") * 8 + F.col("bit")).cast("long").alias("row_id"))
 
@@ -77,3 +81,16 @@ def estimate(postings: DataFrame, kind: str, values: list[str], first_id: int, l
     """Entries of the pages that a range touches, not clipped to it."""
     hit = (F.col("kind") == kind) & F.col("value").isin(values) & (F.col("first_id") <= last_id) & (F.col("last_id") >= first_id)
     return postings.where(hit).agg(F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("estimate"))
+
+
+def executed(rows: DataFrame, id_col: str, index: DataFrame, clauses: dict[str, list[str]], first_id: int, last_id: int, where=None, take: int | None = None) -> DataFrame:
+    """Rows of an id range that the index names for every clause and ``where`` confirms, in id order, at most ``take``.
+
+    No clauses: every id of the range is a candidate.  Only pages that touch the range are read.
+    """
+    out = rows.where(F.col(id_col).between(first_id, last_id))
+    if clauses:
+        touched = index.where((F.col("first_id") <= last_id) & (F.col("last_id") >= first_id))
+        out = matching(out, id_col, candidates(touched, clauses))
+    out = where.apply(out) if where is not None else out
+    return out.orderBy(id_col) if take is None else out.orderBy(id_col).limit(take)

@@ -244,6 +244,7 @@ def queries() -> dict[str, Query]:
         "postings_or": lambda s, d: postings.candidates(_postings(s, d), {"addr": ADDRS}),
         "postings_and": lambda s, d: postings.candidates(_postings(s, d), both),
         "postings_semi_join": lambda s, d: postings.matching(_logs(s, d), "log_id", postings.candidates(_postings(s, d), both | {"topic2": ["1"]})),
+        "candidate_page": lambda s, d: postings.executed(_logs(s, d), "log_id", _postings(s, d), {"addr": ADDRS}, 100, 5000, LogFilter(topic0=Clause.one("NO")), 20),
         "page_cardinality_estimate": lambda s, d: postings.estimate(_postings(s, d), "addr", ADDRS, 100, 5000),
         "tx_streams": lambda s, d: _kinds(postings.tx_streams(t.txs(s, d))),
         "trace_streams": lambda s, d: _kinds(postings.trace_streams(t.traces(s, d))),

@@ -106,6 +106,7 @@ SELECT seq, block_number, 'block_hash_mismatch' AS error FROM e WHERE seq = 1000
     "postings_or": f"SELECT DISTINCT row_id FROM streams WHERE kind = 'addr' AND value IN {ADDRS}",
     "postings_and": f"SELECT log_id AS row_id FROM logs WHERE address IN {ADDRS} AND topic0 IN ('NO', 'RF')",
     "postings_semi_join": f"SELECT {LOG} FROM logs WHERE address IN {ADDRS} AND topic0 IN ('NO', 'RF') AND topic2 = '1'",
+    "candidate_page": f"SELECT {LOG} FROM logs WHERE address IN {ADDRS} AND topic0 = 'NO' AND log_id BETWEEN 100 AND 5000 ORDER BY log_id LIMIT 20",
     "page_cardinality_estimate": f"SELECT CAST(coalesce(sum(count), 0) AS BIGINT) AS estimate FROM postings WHERE kind = 'addr' AND value IN {ADDRS} AND first_id <= 5000 AND last_id >= 100",
     "tx_streams": "SELECT kind, count(*) AS n, count(DISTINCT value) AS kinds FROM (SELECT 'from' AS kind, from_addr AS value FROM txs UNION ALL SELECT 'to', to_addr FROM txs WHERE to_addr IS NOT NULL UNION ALL SELECT 'selector', selector FROM txs WHERE selector IS NOT NULL) GROUP BY 1",
     "trace_streams": "SELECT kind, count(*) AS n, count(DISTINCT value) AS kinds FROM (SELECT 'from' AS kind, from_addr AS value FROM traces UNION ALL SELECT 'to', to_addr FROM traces WHERE to_addr IS NOT NULL UNION ALL SELECT 'selector', selector FROM traces WHERE selector IS NOT NULL UNION ALL SELECT 'has_value', '01' FROM traces WHERE has_value) GROUP BY 1",

@@ -26,4 +26,14 @@ def scratch_path(spark: SparkSession) -> str:
 def materialized(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._ledgerloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`materialized` that no pending plan reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._ledgerloom_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

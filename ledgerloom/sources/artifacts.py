@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import __name__ as package
 from ..errors import BackendError, InvalidParams, NotFound
 from ..operators import stats, workload
-from ..scratch import materialized
+from ..scratch import discard, materialized
 from ..streaming import accepted, verdict
 
 #: Columns and row order (- for descending) of each statistics table: fixed formats.
@@ -135,6 +135,7 @@ def collect(spark: SparkSession, events: DataFrame, logs: DataFrame, target: str
     write_json(spark, f"{folder}/dataset_manifest.json", asdict(made))
     write_json(spark, f"{folder}/run_summary.json", _summary(made, write=time.perf_counter() - began))
     publish(spark, folder, target)
+    discard(kept, own, blocks)
     return made
 
 

@@ -110,6 +110,9 @@ def test_postings_agree_with_the_filter(logs, clauses):
     names = {"addr": "address"}
     want = LogFilter(**{names.get(k, k): Clause.any_of(v) for k, v in clauses.items()}).apply(rows)
     assert {r[0] for r in postings.candidates(index, clauses).collect()} == {r[0] for r in want.select("log_id").collect()}
+    got = postings.executed(rows, "log_id", index, {}, 32_761, 32_763, LogFilter(topic0=Clause.one("t1")), 2)
+    assert [r[0] for r in got.select("log_id").collect()] == [r[0] for r in rows.where("log_id between 32761 and 32763 and topic0 = 't1'").orderBy("log_id").limit(2).select("log_id").collect()]
+    assert postings.executed(rows, "log_id", index, clauses, 0, 99_999).count() == want.count()
     again = postings.compact(index.union(index))
     assert again.agg(F.sum("count")).first() == index.agg(F.sum("count")).first()
 
