@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -43,7 +43,7 @@ def _notices(notices: tuple[tuple[str, str], ...]) -> list[tuple[str, str, int,
         edits = len(text) // CHARS_PER_EDIT
         cuts = [len(text) * k // (edits + 1) for k in range(edits + 2)]
         seeds = [(text[s:e].encode(), s) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
-        out.append((text, label, edits, seeds, regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={edits}}}")))
+        out.append((text, label, edits, seeds, regex.compile(f"(?e)(?:{regex.escape(text)}){{e<={edits}}}")))
     return out
 
 
@@ -54,11 +54,19 @@ def places(line: bytes, needle: bytes) -> Iterator[int]:
         at = line.find(needle, at + 1)
 
 
+def word_numbers(line: bytes, blanks: Iterable[int]) -> Iterator[int]:
+    """The number of the word behind each of the rising places of blanks; ``line`` opens with a blank."""
+    n, last = -1, 0
+    for at in blanks:
+        n, last = n + line.count(b" ", last, at + 1), at + 1
+        yield n
+
+
 def scan(text: bytes | None, phrases: dict[str, str], notices: dict[str, str]) -> tuple[int, list[tuple[int, str]], list[tuple[str, int, int, int, str]]]:
     """(words, [(first word, label)], [(notice, first word, words, edits, matched text)])."""
     words = text.translate(WORDS).split() if text else []
     line = b" " + b" ".join(words) + b" "
-    base = [(line.count(b" ", 0, at + 1) - 1, label) for phrase, label in phrases.items() for at in places(line, b" %s " % phrase.encode())]
+    base = [(word, label) for phrase, label in phrases.items() for word in word_numbers(line, places(line, b" %s " % phrase.encode()))]
     found = []
     for notice, _, edits, seeds, pattern in _notices(tuple(notices.items())):
         windows: list[list[int]] = []
@@ -68,13 +76,16 @@ def scan(text: bytes | None, phrases: dict[str, str], notices: dict[str, str]) -
                 windows[-1][1] = max(windows[-1][1], high)
             else:
                 windows.append([low, high])
-        for low, high in windows:
-            # a window is cut at blanks, so that no character is cut and no word counts in part
-            low, high = line.rfind(b" ", 0, low + 1) + 1, line.find(b" ", high)
+        # a window is cut at blanks, so that no character is cut and no word counts in part
+        lows = [line.rfind(b" ", 0, low + 1) for low, _ in windows]
+        for (_, high), low, word in zip(windows, lows, word_numbers(line, lows), strict=True):
+            low, high = low + 1, line.find(b" ", high)
             part = line[low : high if high >= 0 else len(line) - 1].decode("utf-8", "replace")
+            seen = 0
             for m in pattern.finditer(part):
+                word, seen = word + part.count(" ", seen, m.start()), m.start()
                 if whole_words(part, m.start(), m.end()):
-                    first = line.count(b" ", 0, low) - 1 + part.count(" ", 0, m.start() + (part[m.start()] == " "))
+                    first = word + (part[m.start()] == " ")
                     found.append((notice, first, len(m.group().split()), sum(m.fuzzy_counts), m.group().strip()))
     return len(words), sorted(base), sorted(set(found), key=lambda f: (f[1], f[0]))
 

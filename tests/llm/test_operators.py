@@ -419,6 +419,26 @@ def test_seeds_lose_no_match():
             assert found[0][3] == 0
 
 
+def test_every_notice_of_a_text_is_found():
+    notices = list(licenses.NOTICES)
+    for _ in range(60):
+        parts, want = [], []
+        for _ in range(rng.randrange(1, 7)):
+            notice, s = rng.choice(notices), None
+            for _ in range(rng.randrange(0, len(notice) // licenses.CHARS_PER_EDIT + 1)):
+                s = s or list(notice)
+                k = rng.choice([i for i, c in enumerate(s) if c.isalpha() and 0 < i < len(s) - 1])
+                s[k] = rng.choice("xyzq")
+            filler = ["word"] * rng.randrange(0, 4)
+            want.append((notice, sum(len(p.split()) for p in parts) + len(filler)))
+            parts += [" ".join(filler), "".join(s or notice)]
+        n_words, _, found = licenses.scan(" ".join(parts).encode(), {}, licenses.NOTICES)
+        assert n_words == len(" ".join(parts).split()) and {(n, w) for n, w, *_ in found} >= set(want)
+    line = b"mit license " * 30_000 + b"all rights reserved " * 3_000  # word numbers come in one pass
+    n_words, base, found = licenses.scan(line, licenses.PHRASES, licenses.NOTICES)
+    assert (n_words, len(base), base[-1][0], len(found), found[-1][1]) == (69_000, 30_000, 59_998, 3_000, 68_997)
+
+
 # 8 top-k
 
 
