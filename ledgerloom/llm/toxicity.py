@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from .common import WORDS, byte_column, drop_stored, fold, stored
 
 ORDER, BACKOFF, DISCOUNT, THRESHOLD = 6, 3, 0.75, 0.5
-#: Cells of the scoring tables (two of float32: 16 MB), whatever the corpus.
-CELLS = 1 << 21
 #: Rows that the calibration is fitted on at most.
 CALIBRATION = 8_000
 #: Bytes of text that are scored at once.
@@ -42,22 +40,25 @@ def grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return g & _MASKS[depth], start, n
 
 
-#: Odd multipliers of 45 bits for a gram's three 16-bit parts: products and their sum stay below 2^63.
-_PARTS = (0x1E3779B97F4B, 0x158476D1CE4F, 0x14D049BB1337)
-_SHIFT = 30
+def cells(g: np.ndarray) -> np.ndarray:
+    """Keys of :class:`Table`: the grams themselves, as Spark's longs, so no two share one."""
+    return g.astype(np.int64)
 
 
-def cells(g: np.ndarray) -> np.ndarray:
-    """Multiply-shift hash into CELLS; :func:`_cell` is the same for columns."""
-    low = np.uint64(0xFFFF)
-    h = sum(((g >> np.uint64(16 * k)) & low) * np.uint64(m) for k, m in enumerate(_PARTS))
-    return ((h >> np.uint64(_SHIFT)) & np.uint64(CELLS - 1)).astype(np.int64)
+class Table:
+    """Ratio of each key, NaN for a key that was never seen; 12 bytes for each key seen, as many as the corpus has."""
 
+    def __init__(self, keys: np.ndarray, llr: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.llr = keys[order], llr[order]
 
-def _cell(key: str):
-    part = lambda k: F.shiftright(key, 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long"))
-    h = part(0) * _PARTS[0] + part(1) * _PARTS[1] + part(2) * _PARTS[2]
-    return F.shiftright(h, _SHIFT).bitwiseAND(F.lit(CELLS - 1).cast("long"))
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), np.nan, np.float32)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = self.keys[at] == keys
+            out[hit] = self.llr[at[hit]]
+        return out
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -97,11 +98,10 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 
 def ratios(counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
-    """(kind, cell, llr): log-likelihood ratios of seen n-grams (0) and of backing off in a context (1).
+    """(kind, key, llr): log-likelihood ratios of every seen n-gram (0) and of backing off in every context (1).
 
     Each class has interpolated Kneser-Ney counts at the full order; both back off to one shared
-    distribution: pooled continuation counts of the last BACKOFF bytes, over a uniform floor.  N-grams
-    that meet in a cell share the ratio, weighted by how often they were seen.
+    distribution: pooled continuation counts of the last BACKOFF bytes, over a uniform floor.
     """
     d = F.lit(discount)
     counts = counts.withColumns({"context": F.shiftright("gram", 8), "tail": F.col("gram").bitwiseAND(F.lit((1 << (8 * BACKOFF)) - 1))})
@@ -115,23 +115,18 @@ def ratios(counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
     back = {c: F.when(F.col(f"{c}_n") > 0, d * F.col(f"{c}_kinds") / F.col(f"{c}_n")).otherwise(1.0) for c in ("toxic", "plain")}
     seen = lambda c: F.when(F.col(f"{c}_n") > 0, F.greatest(F.col(c) - d, F.lit(0.0)) / F.col(f"{c}_n")).otherwise(0.0) + back[c] * F.col("shared")
     full = counts.join(contexts, F.col("context") == F.col("of_context")).join(shared, F.col("tail") == F.col("of_tail"))
-    weight = F.col("toxic") + F.col("plain")
-    a = full.select(F.lit(0).alias("kind"), F.col("gram").alias("key"), F.log(seen("toxic") / seen("plain")).alias("llr"), weight.alias("weight"))
-    b = contexts.select(F.lit(1), F.col("of_context"), F.log(back["toxic"] / back["plain"]), F.col("toxic_n") + F.col("plain_n"))
-    return a.union(b).groupBy("kind", _cell("key").alias("cell")).agg((F.sum(F.col("llr") * F.col("weight")) / F.sum("weight")).alias("llr"))
-
-
-def tables(spread: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The two scoring tables, NaN where nothing was seen; at most 2 * CELLS rows come to the driver."""
-    out = (np.full(CELLS, np.nan, np.float32), np.zeros(CELLS, np.float32))
-    for batch in spread.toArrow().to_batches():
-        kind, cell, llr = (batch.column(i).to_numpy() for i in range(3))
-        for k in (0, 1):
-            out[k][cell[kind == k]] = llr[kind == k]
-    return out
+    a = full.select(F.lit(0).alias("kind"), F.col("gram").alias("key"), F.log(seen("toxic") / seen("plain")).cast("float").alias("llr"))
+    return a.union(contexts.select(F.lit(1), F.col("of_context"), F.log(back["toxic"] / back["plain"]).cast("float")))
+
+
+def tables(found: DataFrame) -> tuple[Table, Table]:
+    """The two scoring tables, of n-grams and of contexts; one row of each comes to the driver."""
+    batches = found.toArrow()
+    kind, key, llr = (batches.column(i).to_numpy() for i in range(3))
+    return Table(key[kind == 0], llr[kind == 0]), Table(key[kind == 1], llr[kind == 1])
 
 
-def evidence(texts: list[bytes | None], model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def evidence(texts: list[bytes | None], model: tuple[Table, Table]) -> np.ndarray:
     """(texts, 4): mean ratio of all bytes; of the most toxic word its sum and its mean; sum of the second.
 
     Each is a log-likelihood ratio of the two models, normalised by the bytes it covers where a mean.
@@ -142,7 +137,7 @@ def evidence(texts: list[bytes | None], model: tuple[np.ndarray, np.ndarray]) ->
         return out
     llr = model[0][cells(g)]
     unseen = np.isnan(llr)
-    llr[unseen] = model[1][cells(g[unseen] >> np.uint64(8))]
+    llr[unseen] = np.nan_to_num(model[1][cells(g[unseen] >> np.uint64(8))])
     word = np.add.reduceat(llr, start, dtype=np.float64)
     size = np.diff(np.append(start, len(g)))
     last = np.cumsum(n)
@@ -155,7 +150,7 @@ def evidence(texts: list[bytes | None], model: tuple[np.ndarray, np.ndarray]) ->
     return out
 
 
-def with_evidence(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def with_evidence(docs: DataFrame, model: tuple[Table, Table]) -> DataFrame:
     """(doc_id, e0..e3) of every document, over whole texts, without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

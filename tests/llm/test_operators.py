@@ -368,6 +368,36 @@ def test_kneser_ney_table(spark):
     assert table[0][toxicity.cells(g)][0] == pytest.approx(want, rel=1e-5)
 
 
+def test_ratios_are_shared_by_no_other_gram(spark):
+    """Every gram of a corpus of many has its own ratio; grams never seen are known as such and back off."""
+    own = random.Random(11)
+    rows = [(" ".join("".join(own.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(100)), k % 2) for k in range(60)]
+    counts = {r[0]: (r[1], r[2]) for r in toxicity.gram_counts(spark.createDataFrame(rows, "text string, label int")).collect()}
+    table = toxicity.tables(toxicity.ratios(spark.createDataFrame([(g, *n) for g, n in counts.items()], "gram long, toxic long, plain long")))
+    kinds, stems, sums = Counter(g & 0xFFFFFF for g in counts), Counter(), {}
+    stem_tails = Counter(t >> 8 for t in kinds)
+    for t, n in kinds.items():
+        stems[t >> 8] += n
+    for g, pair in counts.items():
+        old = sums.get(g >> 8, (0, 0, 0, 0))
+        sums[g >> 8] = tuple(a + b for a, b in zip(old, (*pair, pair[0] > 0, pair[1] > 0), strict=True))
+    back = {c: [0.75 * s[k + 2] / s[k] if s[k] else 1.0 for k in (0, 1)] for c, s in sums.items()}
+
+    def want(g):
+        t, s, b = g & 0xFFFFFF, sums[g >> 8], back[g >> 8]
+        shared = (max(kinds[t] - 0.75, 0) + 0.75 * stem_tails[t >> 8] / 256) / stems[t >> 8]
+        p = [(max(counts[g][k] - 0.75, 0) / s[k] if s[k] else 0.0) + b[k] * shared for k in (0, 1)]
+        return math.log(p[0] / p[1])
+
+    seen = np.array(sorted(counts), np.uint64)
+    assert len(seen) > 15_000
+    assert table[0][toxicity.cells(seen)] == pytest.approx([want(int(g)) for g in seen], rel=1e-4, abs=1e-5)
+    never = np.array([g ^ 0x80 for g in counts], np.uint64)  # no byte of the corpus is above 127
+    assert np.isnan(table[0][toxicity.cells(never)]).all()
+    contexts = [int(g) >> 8 for g in never]
+    assert table[1][toxicity.cells(np.array(contexts, np.uint64))] == pytest.approx([math.log(back[c][0] / back[c][1]) for c in contexts], rel=1e-4, abs=1e-5)
+
+
 def test_quality(spark, awkward, empty, labels):
     df, known = labelled(spark, "quality")
     check_scores(quality.quality_scores(df, known).collect(), dict(known.collect()), 0.3)
