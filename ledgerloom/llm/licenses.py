@@ -1,4 +1,4 @@
-"""License scans: exact phrases by word, and fuzzy short notices by pigeonhole seeds and bounded-error matching."""
+"""License scans: exact phrases by word, and fuzzy short notices by pigeonhole seeds and bounded edit distance."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from collections.abc import Iterable, Iterator
 from functools import cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,14 +35,14 @@ CHARS_PER_EDIT = 10
 
 
 @cache
-def _notices(notices: tuple[tuple[str, str], ...]) -> list[tuple[str, str, int, list[tuple[bytes, int]], regex.Pattern]]:
-    """(text, label, edits, [(seed, its place)], pattern): of edits + 1 disjoint seeds one stands unedited."""
+def _notices(notices: tuple[tuple[str, str], ...]) -> list[tuple[str, int, list[tuple[bytes, int]], dict[str, int]]]:
+    """(text, edits, [(seed, its place)], bits of each character's places): of edits + 1 disjoint seeds one stands unedited."""
     out = []
-    for text, label in notices:
+    for text in filter(None, dict(notices)):
         edits = len(text) // CHARS_PER_EDIT
         cuts = [len(text) * k // (edits + 1) for k in range(edits + 2)]
         seeds = [(text[s:e].encode(), s) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
-        out.append((text, label, edits, seeds, regex.compile(f"(?e)(?:{regex.escape(text)}){{e<={edits}}}")))
+        out.append((text, edits, seeds, {c: sum(1 << i for i, x in enumerate(text) if x == c) for c in text}))
     return out
 
 
@@ -68,10 +67,10 @@ def scan(text: bytes | None, phrases: dict[str, str], notices: dict[str, str]) -
     line = b" " + b" ".join(words) + b" "
     base = [(word, label) for phrase, label in phrases.items() for word in word_numbers(line, places(line, b" %s " % phrase.encode()))]
     found = []
-    for notice, _, edits, seeds, pattern in _notices(tuple(notices.items())):
+    for notice, edits, seeds, bits in _notices(tuple(notices.items())):
         windows: list[list[int]] = []
         for at, place in sorted((at, place) for seed, place in seeds for at in places(line, seed)):
-            low, high = max(0, at - place - edits), at - place + len(notice) + edits
+            low, high = max(0, at - place - 4 * edits), at - place + len(notice) + 4 * edits  # an edit's character has 4 bytes at most
             if windows and low <= windows[-1][1]:
                 windows[-1][1] = max(windows[-1][1], high)
             else:
@@ -81,20 +80,44 @@ def scan(text: bytes | None, phrases: dict[str, str], notices: dict[str, str]) -
         for (_, high), low, word in zip(windows, lows, word_numbers(line, lows), strict=True):
             low, high = low + 1, line.find(b" ", high)
             part = line[low : high if high >= 0 else len(line) - 1].decode("utf-8", "replace")
-            seen = 0
-            for m in pattern.finditer(part):
-                word, seen = word + part.count(" ", seen, m.start()), m.start()
-                if whole_words(part, m.start(), m.end()):
-                    first = word + (part[m.start()] == " ")
-                    found.append((notice, first, len(m.group().split()), sum(m.fuzzy_counts), m.group().strip()))
+            own = part.split(" ")
+            found += [(notice, word + at, n, e, " ".join(own[at : at + n])) for at, n, e in spans(part, len(notice), edits, bits)]
     return len(words), sorted(base), sorted(set(found), key=lambda f: (f[1], f[0]))
 
 
-def whole_words(part: str, start: int, end: int) -> bool:
-    """A match opens and closes where a word does."""
-    if start == end:
-        return False
-    return (start == 0 or part[start - 1] == " " or part[start] == " ") and (end == len(part) or part[end] == " " or part[end - 1] == " ")
+def spans(part: str, length: int, edits: int, bits: dict[str, int]) -> list[tuple[int, int, int]]:
+    """(first word, words, edits) of the spans of whole words within ``edits`` of a notice; of those that overlap the
+    nearest, then the one of most like length, then the first.
+
+    From each word on, the distance to every longer text in one pass, a bit for each place of the notice (Myers).
+    """
+    every, top, near = (1 << length) - 1, 1 << (length - 1), []
+    start, word = 0, -1
+    while len(part) - start >= length - edits:
+        word += 1
+        plus, minus, score, n = every, 0, length, 1
+        for size, c in enumerate(part[start : start + length + edits + 1]):
+            if c == " ":
+                if score <= edits:
+                    near.append((score, abs(size - length), word, n))
+                n += 1
+            eq = bits.get(c, 0)
+            down, across = eq | minus, (((eq & plus) + plus) ^ plus) | eq
+            up, fall = minus | ~(across | plus), plus & across
+            score += (up & top > 0) - (fall & top > 0)
+            up, fall = up << 1 | 1, fall << 1
+            plus, minus = (fall | ~(down | up)) & every, up & down & every
+        if score <= edits and len(part) - start <= length + edits:
+            near.append((score, abs(len(part) - start - length), word, n))
+        start = part.find(" ", start) + 1
+        if not start:
+            break
+    out, taken = [], set()
+    for e, _, at, n in sorted(near):
+        if taken.isdisjoint(range(at, at + n)):
+            taken.update(range(at, at + n))
+            out.append((at, n, e))
+    return out
 
 
 SCHEMA = "n_words long, base array<struct<word:bigint,label:string>>, notices array<struct<notice:string,label:string,word:bigint,words:bigint,edits:bigint,text:string>>"
@@ -105,7 +128,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices
 
     A-Z is lower-cased; words are runs of digits, a-z and non-ASCII characters.  ``base`` has each place
     where a phrase's words stand in a row; ``notices`` each span that is a notice with at most one edit
-    for CHARS_PER_EDIT of its characters, whole words, with the edits and the text met.  A null text is
+    for CHARS_PER_EDIT of its characters, whole words, with the edits and the text met (of spans that overlap, the nearest).  A null text is
     an empty one: no words, nothing found.  Repeated rows are scanned each; other columns aren't read.
     """
     phrases, notices = PHRASES if phrases is None else phrases, NOTICES if notices is None else notices

@@ -469,6 +469,35 @@ def test_every_notice_of_a_text_is_found():
     assert (n_words, len(base), base[-1][0], len(found), found[-1][1]) == (69_000, 30_000, 59_998, 3_000, 68_997)
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_notices_edited_at_their_ends():
+    """Edits at both ends of a notice, in and beside other words, against the distance of every span of whole words."""
+    own = random.Random(3)
+    for notice in licenses.NOTICES:
+        bound = len(notice) // licenses.CHARS_PER_EDIT
+        assert licenses.scan(f"x {notice}s y".encode(), {}, {notice: "n"})[2] == [(notice, 1, len(notice.split()), 1, notice + "s")]
+        assert licenses.scan(f"x{notice}".encode(), {}, {notice: "n"})[2] == [(notice, 0, len(notice.split()), 1, "x" + notice)]
+        for _ in range(40):
+            s = list(notice)
+            for _ in range(own.randrange(1, bound + 1)):
+                at, kind = own.choice([0, len(s), len(s) - 1, own.randrange(len(s))]), own.randrange(3)
+                s[at : at + (kind > 0)] = [] if kind == 2 else own.choice(["x", "s", "s", " ", "ä", "語"])
+            beside = [" ".join(own.choice(["a", "of", "word", "s"]) for _ in range(own.randrange(3))) for _ in range(2)]
+            w = words(f"{beside[0]} {''.join(s)} {beside[1]}")
+            want = {(i, j - i): d for i in range(len(w)) for j in range(i + 1, len(w) + 1) if abs(len(t := " ".join(w[i:j])) - len(notice)) <= bound and (d := distance(t, notice)) <= bound}
+            found = licenses.scan(" ".join(w).encode(), {}, {notice: "n"})[2]
+            assert bool(found) == bool(want) and all(want[at, n] == e for _, at, n, e, _ in found), w
+            assert min((e for *_, e, _ in found), default=None) == min(want.values(), default=None), w
+
+
 # 8 top-k
 
 
