@@ -84,11 +84,10 @@ class MTree:
             if page.children is None:
                 # the stored distance to the routing object bounds each entry before its own is computed
                 rows = page.rows[bound(np.abs(page.near - d)) + slack >= kth]
+                rows = rows[self.ids[rows] != own_id]
                 scores = self.vectors[rows] @ query
-                order = np.argsort(-scores, kind="stable")[: k + 1]
+                order = np.lexsort((self.ids[rows], -scores))[:k]
                 for score, vec in zip(scores[order].astype(np.int64).tolist(), self.ids[rows[order]].tolist(), strict=True):
-                    if vec == own_id:
-                        continue
                     if len(best) < k:
                         if score >= floor:
                             heapq.heappush(best, (score, -vec))

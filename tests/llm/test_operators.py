@@ -510,6 +510,17 @@ def plain_top(rows, query_ids, k=10):
     return sorted(out)
 
 
+def test_own_rows_take_no_place_in_a_leaf():
+    """A query's own id stands many times beside its candidates; ties in a leaf go to the smaller ids."""
+    own = random.Random(8)
+    for copies in (2, 11, 30):
+        rows = [(7, [3, 4])] * copies + [(100 - i, [3, 4 - i % 3]) for i in range(30)] + [(200 + i, [own.randrange(-2, 3), own.randrange(-2, 3)]) for i in range(200)]
+        own.shuffle(rows)
+        tree = mtree.MTree(np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows], np.float64))
+        want = sorted((-(3 * v[0] + 4 * v[1]), i) for i, v in rows if i != 7)[:10]
+        assert tree.search(np.array([3.0, 4.0]), 7, 10) == [(-s, i) for s, i in want]
+
+
 def test_top_k(spark):
     rows = [(i, [rng.gauss(0, 0.2) for _ in range(8)]) for i in range(400)]
     rows += [(1000 + i, rows[3][1]) for i in range(300)] + [(2000, None), (2001, [1.0, None]), (2002, [float("nan")] * 8), (2003, [0.5, 0.5]), (2004, [0.25, 0.5]), (2005, []), (None, [1.0] * 8), (2007, [float("inf")] * 8)]
