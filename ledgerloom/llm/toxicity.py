@@ -189,8 +189,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def toxicity_scores(docs: DataFrame, labels: DataFrame, column: str = "toxic", threshold: float = THRESHOLD, calibration: int = CALIBRATION) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: toxic likelier), predicted; one row per document.
 
-    Counts come from every labelled row of folds 2 to 4, the calibration from at most ``calibration``
-    rows of fold 1 (those whose ids hash lowest); fold 0 is held out.  Null ids and labels teach
+    The calibration comes from at most ``calibration`` ids of fold 1 (those that hash lowest), counts
+    from every other labelled row of folds 1 to 4; fold 0 is held out.  Null ids and labels teach
     nothing; an id labelled more than once has its highest label; repeated documents count each time.
     Null, empty and wordless texts have no evidence and get the calibrated score of none; with no
     labelled rows, or one class only, every score is the smoothed share of toxic rows.  Only ``text``
@@ -200,12 +200,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, column: str = "toxic", t
     known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col(column)).cast("int").alias("label"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # labels grow with the documents, so both sides are dealt by id at every size
-    learnt = texts.where(fold().isin(2, 3, 4)).join(known.where(fold("_id").isin(2, 3, 4)).hint("merge"), F.col("doc_id") == F.col("_id")).select("text", "label")
+    chosen = F.broadcast(known.where(fold("_id") == 1).orderBy(F.xxhash64("_id"), "_id").limit(calibration))
+    taught = known.join(chosen.select(F.col("_id").alias("_held")), F.col("_id") == F.col("_held"), "left_anti")
+    learnt = texts.where(fold() != 0).join(taught.hint("merge"), F.col("doc_id") == F.col("_id")).select("text", "label")
     counts = stored(gram_counts(learnt))
     model = tables(ratios(counts))
     drop_stored(counts)
     found = stored(with_evidence(texts, model))
-    chosen = F.broadcast(known.where(fold("_id") == 1).orderBy(F.xxhash64("_id"), "_id").limit(calibration))
     rows = found.join(chosen, F.col("doc_id") == F.col("_id")).select("e0", "e1", "e2", "e3", "label").orderBy(F.xxhash64("doc_id"), "e0", "e1").limit(calibration).collect()
     x = np.array([r[:4] for r in rows]).reshape(-1, 4)
     y = np.array([r[4] > 0 for r in rows], bool)

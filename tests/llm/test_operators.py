@@ -347,6 +347,17 @@ def test_toxicity(spark, awkward, empty, labels):
     assert toxicity.toxicity_scores(awkward, labels.limit(0)).count() == len(AWKWARD)
 
 
+def test_toxicity_counts_all_but_the_calibration(spark, monkeypatch):
+    df, known = labelled(spark, "toxic")
+    learnt, count = [], toxicity.gram_counts
+    monkeypatch.setattr(toxicity, "gram_counts", lambda docs: learnt.append(Counter(r["text"] for r in docs.collect())) or count(docs))
+    toxicity.toxicity_scores(df, known, calibration=20)
+    folds = {i: zlib.crc32(str(i).encode()) % 5 for i, _ in documents_of(df)}
+    texts = dict(documents_of(df))
+    assert sum(learnt[0].values()) == sum(f != 0 for f in folds.values()) - 20
+    assert learnt[0] >= Counter(texts[i] for i, f in folds.items() if f > 1) and not learnt[0] & Counter(texts[i] for i, f in folds.items() if f == 0)
+
+
 def test_kneser_ney_table(spark):
     """Ratios of the model against the formulas, on a corpus small enough to write them out."""
     rows = [("ab ab ac", 1), ("ab ad ad", 0), ("b", 0)]
