@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths made inside each open :func:`scope`, the innermost last.
+_SCOPES: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder only in local mode, where it is unset."""
@@ -23,17 +28,36 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/ledgerloom/{uuid.uuid4().hex}"
 
 
-def materialized(df: DataFrame) -> DataFrame:
+def materialized(df: DataFrame, scoped: bool = True) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and reread it; an open :func:`scope` deletes it if ``scoped``."""
     path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
+    if scoped and _SCOPES:
+        _SCOPES[-1].append(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._ledgerloom_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by :func:`materialized` that no pending plan reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._ledgerloom_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._ledgerloom_path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables materialized inside are deleted at the end: read or write the result before it."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            _delete(spark, path)
