@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORDS, byte_column, wrapped
+from .common import WORDS, byte_column, in_arrow, wrapped
 
 WINDOW = 10
 #: Benchmark words broadcast at once; a larger benchmark is handled in as many passes as it needs.
@@ -193,7 +193,7 @@ def _probed(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_w
                 found = pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["n_words", "spans", "items", "longest", "longest_at"])
                 yield pa.RecordBatch.from_arrays([batch.column(0), found], ["rest", "state"])
 
-        out = out.mapInArrow(run, T.StructType([out.schema["rest"], state]))
+        out = in_arrow(out, run, T.StructType([out.schema["rest"], state]))
     return out
 
 

@@ -7,22 +7,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, byte_column, stored, wrapped
-from .components import connected_components
+from .common import LOWER, bitmap, byte_column, in_arrow, numbered, stored
+from .components import connected_components, local_components
 
 SHINGLE, THRESHOLD = 8, 0.8
 #: 10 bands of 4 minima: a pair at similarity 0.8 shares a band with probability 0.995.
 BANDS, ROWS = 10, 4
-#: Bits of the filter that spares the shuffle lines which are no candidates; fixed, so 4 MB at any scale.
-FILTER_BITS = 1 << 25
-#: Candidate components beyond this are cut into blocks, verified for each pair of blocks.
-BLOCK = 2048
-#: (band key, line) pairs that a task holds before it sends them on.
-HELD = 4_000_000
+#: Lines and characters that are compared in one task; larger groups are cut into blocks.
+GROUP_LINES, GROUP_CHARS = 512, 1 << 20
+#: (band key, line) pairs that a task holds before it sends them on, and rows that it sends at once.
+HELD, SENT = 500_000, 65_536
 NONE = np.uint64(2**64 - 1)
 
 
@@ -130,14 +128,18 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                 keep = lid != 0
                 yield pa.RecordBatch.from_arrays([pa.array(rows[which[keep]]), ids.take(pa.array(which[keep])), pa.array(line[keep].astype(np.int32)), pa.array(lid[keep])], ["row", "doc_id", "line", "lid"])
 
-    return docs.mapInArrow(run, "row long, doc_id long, line int, lid long")
+    return in_arrow(docs, run, "row long, doc_id long, line int, lid long")
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, SENT) for at in range(0, batch.num_rows, SENT))
 
 
 def _postings(docs: DataFrame) -> DataFrame:
     """(key, a, b): a = b posts line a under a band key; other rows are links met inside the task.
 
     Of lines that share a band key inside a task, one is posted and the others are linked to it, so
-    even the hottest key has at most one posting for each task.
+    even the hottest key has few postings for each task.
     """
 
     def combined(key: np.ndarray, lid: np.ndarray) -> pa.RecordBatch:
@@ -165,12 +167,12 @@ def _postings(docs: DataFrame) -> DataFrame:
                     lids.append(np.repeat(np.fromiter(new, np.int64, len(new)), BANDS))
                     held += len(lids[-1])
                 if held >= HELD:
-                    yield combined(np.concatenate(keys), np.concatenate(lids))
+                    yield from _slices(combined(np.concatenate(keys), np.concatenate(lids)))
                     seen, keys, lids, held = set(), [], [], 0
         if held:
-            yield combined(np.concatenate(keys), np.concatenate(lids))
+            yield from _slices(combined(np.concatenate(keys), np.concatenate(lids)))
 
-    return docs.select(F.col("text")).mapInArrow(run, "key long, a long, b long")
+    return in_arrow(docs.select("text"), run, "key long, a long, b long")
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,63 +224,106 @@ def _jaccard_links(lids: list[int], sets: list[np.ndarray], threshold: float) ->
     return out
 
 
-def _verify(threshold: float):
+def _cross_links(lids: list[int], sets: list[np.ndarray], classes: list[int], probes: list[bool], threshold: float) -> list[tuple[int, int]]:
+    """Links from the probes to lines of other classes; a class that a probe has joined is not met again by that probe."""
+    sizes, label = np.array([len(x) for x in sets]), np.array(classes)
+    _, dense = np.unique(np.concatenate(sets), return_inverse=True)
+    edge = np.cumsum(sizes) - sizes
+    mark, out = np.zeros(int(dense.max()) + 1, np.int8), []
+    for p in np.flatnonzero(probes).tolist():
+        own = dense[edge[p] : edge[p] + sizes[p]]
+        mark[own] = 1
+        shared = np.add.reduceat(mark[dense], edge, dtype=np.int64)
+        mark[own] = 0
+        near = np.flatnonzero((shared >= threshold * (sizes[p] + sizes - shared) - 1e-9) & (label != label[p]))
+        _, first = np.unique(label[near], return_index=True)
+        out += [(lids[p], lids[i]) for i in near[first].tolist()]
+    return out
+
+
+def _verify(threshold: float, cross: bool = False):
+    """Rows (group, pair, lid, class, probe, line) sorted by group -> (group, u, v) of each; a group may cross batches, and is bounded.
+
+    Not ``cross``: u is the smallest line that v is joined to inside the group, itself if to none.
+    ``cross``: a link from the probe u to the line v of another class.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, lids, sets = None, [], []
+        group, lids, sets, classes, probes, out = None, [], [], [], [], []
+
+        def close() -> list[tuple[int, int, int]]:
+            if not lids:
+                return []
+            if cross:
+                return [(group[0], u, v) for u, v in _cross_links(lids, sets, classes, probes, threshold)]
+            links = np.array(_jaccard_links(lids, sets, threshold) if len(lids) > 1 else [], np.int64).reshape(-1, 2)
+            node, root = local_components(links[:, 0], links[:, 1])
+            alone = set(lids) - set(node.tolist())
+            return [(group[0], u, v) for v, u in zip(node.tolist(), root.tolist(), strict=True)] + [(group[0], x, x) for x in alone]
+
+        def sent(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in range(3)], ["group", "u", "v"])
+
         for batch in batches:
-            out = []
             for at, part in byte_column(batch, "line"):
-                rows = zip(*(batch.column(i).slice(at, len(part)).to_pylist() for i in range(3)), shingle_sets(part), strict=True)
-                for component, pair, lid, own in rows:
-                    if (component, pair) != group:
-                        out += _jaccard_links(lids, sets, threshold) if len(lids) > 1 else []
-                        group, lids, sets = (component, pair), [], []
-                    if not lids or lids[-1] != lid:  # the same line from another task
-                        lids.append(lid)
-                        sets.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["u", "v"])
-        out = _jaccard_links(lids, sets, threshold) if len(lids) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["u", "v"])
+                rows = zip(*(batch.column(i).slice(at, len(part)).to_pylist() for i in range(5)), shingle_sets(part), strict=True)
+                for key, pair, lid, label, probe, own in rows:
+                    if (key, pair) != group:
+                        out += close()
+                        group, lids, sets, classes, probes = (key, pair), [], [], [], []
+                    lids.append(lid)
+                    sets.append(own)
+                    classes.append(label)
+                    probes.append(probe)
+            yield sent(out)
+            out = []
+        yield sent(close())
 
     return run
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS over hashed ids: a line it doesn't hold is no candidate."""
-    bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    rows = ids.select((bit / 32768).cast("int").alias("page"), (bit % 32768).alias("bit")).groupBy("page").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows:
+def _filter_of(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """(bitmap over hashed line ids, its bits): a line it doesn't hold is no candidate; 32 MB at most."""
+    pages, size = bitmap(ids, "node")
+    out = np.zeros(size // 8, np.uint8)
+    for r in pages.collect():
         out[r["page"] * 4096 : (r["page"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return out
+    return out, size
 
 
 def _candidate_texts(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """(component, lid, line) of every candidate line, once for each task that met it."""
+    """(component, lid, line) of every candidate line, once."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(marked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        (bits, size), seen = shared.value, set()
         for batch in batches:
             for _, part in byte_column(batch, "text"):
                 new = {lid: line for t in part for line in normal_lines(t) if (lid := line_id(line)) not in seen}
                 seen.update(new)
                 if len(seen) > HELD // BANDS:
                     seen = set()
-                yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array([x.decode("utf-8", "replace") for x in new.values()], pa.string())], ["lid", "line"])
+                lid = np.fromiter(new, np.int64, len(new))
+                bit = (xxh64_long(lid) % np.int64(size)).astype(np.int64)
+                keep = (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+                lines = [x.decode("utf-8", "replace") for x, k in zip(new.values(), keep.tolist(), strict=True) if k]
+                yield pa.RecordBatch.from_arrays([pa.array(lid[keep]), pa.array(lines, pa.string())], ["lid", "line"])
+
+    # a common line comes from many tasks: one of its copies is taken before anything else is done with it
+    found = in_arrow(docs.select("text"), run, "lid long, line string").groupBy("lid").agg(F.first("line").alias("line"))
+    return found.join(marked, F.col("lid") == F.col("node")).select("component", "lid", "line")
 
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(_filter_of(marked))
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in run(batches):
-            lid = batch.column(0).to_numpy()
-            bit = (xxh64_long(lid) % np.int64(FILTER_BITS)).astype(np.int64)
-            mask = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
-            yield batch.filter(pa.array(mask.astype(bool)))
+def _rebanded(lines: DataFrame) -> DataFrame:
+    """(group, lid, line): a row for each band key of each line, the key being the group."""
 
-    found = docs.select("text").mapInArrow(kept, "lid long, line string")
-    return found.join(marked, F.col("lid") == F.col("node")).select("component", "lid", "line")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, part in byte_column(batch, "line", 64, 1 << 16):
+                which = pa.array(np.repeat(np.arange(at, at + len(part)), BANDS))
+                yield pa.RecordBatch.from_arrays([pa.array(band_keys(part).ravel()), *[batch.column(i).take(which) for i in (0, 1)]], ["group", "lid", "line"])
+
+    return in_arrow(lines.select("lid", "line"), run, "group long, lid long, line string")
 
 
 def xxh64_long(values: np.ndarray, seed: int = 42) -> np.ndarray:
@@ -294,19 +339,83 @@ def xxh64_long(values: np.ndarray, seed: int = 42) -> np.ndarray:
         return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
+def _blocks(lines: DataFrame, key: str) -> DataFrame:
+    """(of, blocks): for each group, the blocks that hold its lines within GROUP_LINES and GROUP_CHARS each, about."""
+    size = F.greatest(F.count("*") / GROUP_LINES, F.sum(F.length("line")) / GROUP_CHARS)
+    return lines.groupBy(F.col(key).alias("of")).agg(F.greatest(F.lit(1), F.ceil(size)).cast("int").alias("blocks"))
+
+
+def _compared(groups: DataFrame, threshold: float, cross: bool = False) -> DataFrame:
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = groups.select("group", "pair", "lid", "class", "probe", "line")
+    return in_arrow(rows.repartition(parts, "group", "pair").sortWithinPartitions("group", "pair", "lid"), _verify(threshold, cross), "group long, u long, v long")
+
+
+def _plain_groups(rows: DataFrame, pair: Column) -> DataFrame:
+    return rows.select("group", pair.alias("pair"), "lid", F.col("lid").alias("class"), F.lit(True).alias("probe"), "line")
+
+
+def verified_links(texts: DataFrame, threshold: float) -> DataFrame:
+    """Stored (component, lid, line) of all candidates -> links (u, v) that join the lines as all links of candidates do.
+
+    A candidate component within GROUP_LINES and GROUP_CHARS is one group, all its lines compared.  The
+    lines of a larger one are grouped by band key, which is what makes two lines candidates, and a group
+    still larger is taken in three steps, none of which holds more than a block or two: the lines of each
+    block are compared; then one line of each class found so; then every line outside the group's largest
+    class, with the lines of other classes in each block.  So no link between classes is lost, and what
+    is copied to several blocks are the lines that the largest class has not taken up.
+    """
+    sizes = stored(_blocks(texts, "component"))
+    marked = texts.join(sizes, F.col("component") == F.col("of"))
+    small = marked.where("blocks = 1").withColumnRenamed("component", "group")
+    links = _compared(_plain_groups(small, F.lit(0).cast("long")), threshold).select("u", "v")
+    if not sizes.where("blocks > 1").limit(1).count():
+        return links
+    rows = stored(_rebanded(marked.where("blocks > 1")))
+    sizes = stored(_blocks(rows, "group"))
+    block = F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("long")
+    rows = stored(rows.join(sizes, F.col("group") == F.col("of")).select("group", "lid", "line", "blocks", block.alias("block")))
+    within = stored(_compared(_plain_groups(rows, F.col("block")), threshold))
+    links = links.union(within.select("u", "v"))
+    large = rows.where("blocks > 1")
+    if not large.limit(1).count():
+        return links
+    classed = _classed(large, within)
+    heads = classed.where("lid = class").select("group", "lid", "line")
+    heads = heads.join(_blocks(heads, "group"), F.col("group") == F.col("of")).select("group", "lid", "line", block.alias("block"))
+    between = stored(_compared(_plain_groups(heads, F.col("block")), threshold))
+    links = links.union(between.select("u", "v"))
+    heads = between.select(F.col("group").alias("of"), F.col("v").alias("head"), F.col("u").alias("joined"))
+    classed = classed.join(heads, (F.col("group") == F.col("of")) & (F.col("class") == F.col("head")), "left")
+    classed = stored(classed.select(*large.columns, F.coalesce("joined", "class").alias("class")))
+    counts = classed.groupBy("group", "class").agg(F.count("*").alias("n"))
+    largest = counts.groupBy(F.col("group").alias("of")).agg(F.max_by("class", F.struct("n", "class")).alias("largest"))
+    rest = stored(classed.join(largest, F.col("group") == F.col("of")).where("class <> largest").drop("of", "largest"))
+    if not rest.limit(1).count():
+        return links
+    cuts = stored(_blocks(rest, "group").withColumnRenamed("blocks", "cuts"))
+    own = F.pmod(F.xxhash64("lid", F.lit(1)), F.col("cuts")).cast("long")
+    place = lambda cut, at: (cut * F.lit(1 << 31) + at).alias("pair")
+    probes = rest.join(cuts, F.col("group") == F.col("of")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("to"))
+    probes = probes.select("group", place(own, F.col("to")), "lid", "class", F.lit(True).alias("probe"), "line")
+    others = classed.join(cuts, F.col("group") == F.col("of")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts").cast("long") - 1)).alias("to"))
+    others = others.select("group", place(F.col("to"), F.col("block")), "lid", "class", F.lit(False).alias("probe"), "line")
+    return links.union(_compared(probes.union(others), threshold, cross=True).select("u", "v"))
+
+
+def _classed(rows: DataFrame, within: DataFrame) -> DataFrame:
+    """``rows`` with the class that each line has inside its group."""
+    own = within.select(F.col("group").alias("of"), F.col("v").alias("own"), F.col("u").alias("class"))
+    return rows.join(own, (F.col("group") == F.col("of")) & (F.col("lid") == F.col("own"))).select(*rows.columns, "class")
+
+
 def line_components(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, component): lines with a near twin, by 64-bit id of the normalised line; ``docs(text)``."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = _postings(docs).repartition(parts, "key").sortWithinPartitions("key", "a").mapInArrow(_candidates, "u long, v long")
+    links = in_arrow(_postings(docs).repartition(parts, "key").sortWithinPartitions("key", "a"), _candidates, "u long, v long")
     marked = stored(connected_components(links))
-    hot = marked.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(F.col("component").alias("hot"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    texts = _candidate_texts(docs, marked).join(hot, F.col("component") == F.col("hot"), "left")
-    blocks = F.coalesce("blocks", F.lit(1))
-    own, other = F.pmod(F.xxhash64("lid"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
-    grouped = texts.select("component", "lid", "line", own.alias("own"), other.alias("other"))
-    grouped = grouped.select("component", (F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")).alias("pair"), "lid", "line")
-    verified = grouped.repartition(parts, "component", "pair").sortWithinPartitions("component", "pair", "lid").mapInArrow(_verify(threshold), "u long, v long")
-    return connected_components(verified)
+    texts = stored(_candidate_texts(docs, marked))
+    return connected_components(verified_links(texts, threshold))
 
 
 def line_removals(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -330,10 +439,11 @@ def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shorter line only equals itself); one line of each connected component stays, the one with the
     smallest doc_id (null last), then table row, then line number.  Blank lines always stay.
     ``_lines`` has n_lines, n_kept and removed (line, kept_in: doc_id of the line kept).  A null text
-    stays null with no lines; an empty one has one blank line; repeated rows count as documents of
-    their own; other columns pass through.  ``docs`` must be a stored table.
+    stays null with no lines; an empty one has one blank line; very long texts and lines are read whole;
+    repeated rows count as documents of their own; other columns pass through.  Rows are written once
+    with their ids, so ``docs`` may be any plan.
     """
-    rows = wrapped(docs.withColumn("text", F.col("text").cast("string")))
+    rows = numbered(docs.withColumn("text", F.col("text").cast("string")))
     gone = line_removals(rows.select("row", "rest.doc_id", "rest.text"), threshold).withColumnRenamed("row", "of_row")
     joined = rows.join(gone, F.col("row") == F.col("of_row"), "left").select("rest", F.coalesce("removed", F.array().cast("array<struct<line:int,kept_in:bigint>>")).alias("removed"))
 
@@ -355,4 +465,4 @@ def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(list(parts.values()), names), info], ["rest", "lines"])
 
     info = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_kept", T.LongType()), joined.schema["removed"]])
-    return joined.mapInArrow(rebuilt, T.StructType([joined.schema["rest"], T.StructField("lines", info)])).select("rest.*", F.col("lines").alias("_lines"))
+    return in_arrow(joined, rebuilt, T.StructType([joined.schema["rest"], T.StructField("lines", info)])).select("rest.*", F.col("lines").alias("_lines"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_column, fold, wrapped
+from .common import byte_column, fold, in_arrow, wrapped
 
 #: Hashed n-gram indicators.
 DIMENSIONS = 1 << 18
@@ -189,7 +189,7 @@ def scored(docs: DataFrame, model: SupportVectors | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["rest", "score"])
 
     rows = wrapped(docs.withColumn("text", F.col("text").cast("string"))).select("rest")
-    return rows.mapInArrow(run, T.StructType([rows.schema["rest"], T.StructField("score", T.DoubleType())]))
+    return in_arrow(rows, run, T.StructType([rows.schema["rest"], T.StructField("score", T.DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_column, drop_stored, stored
+from .common import LOWER, byte_column, drop_stored, in_arrow, stored
 
 _MARK = re.compile(rb"^((?:[ \t]*>)+)[ \t]?")
 
@@ -71,8 +71,7 @@ def parsed(messages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], bodies, quotes, pa.array([r[2] for r in rows], pa.list_(pa.string()))], ["conv_id", "turn", "role", "body", "quotes", "offers"])
 
     chosen = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, PARSED)
-
+    return in_arrow(chosen, run, PARSED)
 
 
 def threads(links: DataFrame) -> DataFrame:
