@@ -96,9 +96,9 @@ def estimated_selectivity(addresses: Column, topics: Column, span: Column) -> Co
     return F.greatest(F.size(addresses), F.lit(1)).cast("long") * F.greatest(F.size(topics), F.lit(1)).cast("long") * span
 
 
-def draw(seed: int, *parts: Column) -> Column:
+def draw(seed: Column, *parts: Column) -> Column:
     """48 uniform bits from a seed and named parts: the same on any number of partitions."""
-    text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    text = F.concat_ws(":", seed, *[p.cast("string") for p in parts])
     return F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("long")
 
 

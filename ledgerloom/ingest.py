@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import threading
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
@@ -23,7 +24,9 @@ from .errors import (
     LeaseStillFresh,
 )
 from .functions import has_value, is_call, trace_selector
+from .index import PostingIndex
 from .operators.ids import assign_ids, block_windows
+from .operators.postings import BUCKET
 from .operators.stats import with_previous
 
 ZEROS = "0" * 64
@@ -76,6 +79,24 @@ class PublicationStore:
         return new
 
 
+class MemoryPublicationStore:
+    """The same record in the driver's memory: every version stays, for tests and for histories that nobody else reads."""
+
+    def __init__(self):
+        self.versions: list[Publication] = []
+        self._lock = threading.Lock()
+
+    def load(self) -> Publication | None:
+        return self.versions[-1] if self.versions else None
+
+    def compare_and_set(self, expected: int, new: Publication) -> Publication:
+        with self._lock:
+            if len(self.versions) != expected:
+                raise CasConflict(f"version {len(self.versions)} is not {expected}")
+            self.versions.append(replace(new, version=expected + 1))
+            return self.versions[-1]
+
+
 class HadoopPublicationStore:
     """The same record on any Hadoop file system: a version is renamed into place, which fails where it exists.
 
@@ -170,11 +191,13 @@ class Ingestor:
     """Appends batches as Parquet, one folder each, and publishes the head last.
 
     A batch is written to a folder named by its block range: a retry of an unpublished batch overwrites
-    it, and readers, who filter by the head, never see what a crash left.
+    it, and readers, who filter by the head, never see what a crash left.  Postings go the same way, and
+    the buckets of ids that a published batch has filled are sealed behind it.
     """
 
-    def __init__(self, spark: SparkSession, root: str, authority: LeaseAuthority):
+    def __init__(self, spark: SparkSession, root: str, authority: LeaseAuthority, bucket: int = BUCKET):
         self.spark, self.root, self.authority = spark, root.rstrip("/"), authority
+        self.index = PostingIndex(spark, self.root, bucket)
 
     def _validate(self, blocks: DataFrame, state: Publication) -> tuple[int, int, str, str]:
         linked = with_previous(blocks, "block_num", "block_num", "block_hash")
@@ -217,11 +240,24 @@ class Ingestor:
             windows.write.mode("overwrite").parquet(f"{self.root}/{family}_windows/{folder}")
             # rows sorted by id, so that a range of blocks touches few row groups
             assign_ids(rows, order, id_col, ids[family]).sort(id_col).write.mode("overwrite").parquet(f"{self.root}/{family}/{folder}")
+            self.index.add(family, self.spark.read.parquet(f"{self.root}/{family}/{folder}"), folder)
             n = self.spark.read.parquet(f"{self.root}/{family}_windows/{folder}").agg(F.sum("count")).first()[0]
             out[f"written_{family}"], ids[family] = n, ids[family] + n
         self.authority.publish(state, high, digest, ids)
+        for family in ORDERS:
+            self.index.seal(family, high, ids[family])
         return out
 
+    def recover(self) -> dict:
+        """What the last crash left, made good: the rows and postings of unpublished batches go, due pages are sealed."""
+        now = self.authority.store.load() or Publication()
+        rows = {f: self.spark.read.parquet(f"{self.root}/{f}").where(F.col("batch").cast("long") <= now.head) for f in ORDERS} if now.head else {}
+        return self.index.recover(now.head, dict(now.next_ids), rows)
+
+    def postings(self, family: str) -> DataFrame:
+        """The index of a family up to the published head."""
+        return self.index.read(family, (self.authority.store.load() or Publication()).head)
+
     def tables(self) -> dict[str, DataFrame]:
         """All folders of each table, at most those up to the head: unpublished ones lie beyond it."""
         names = ["blocks", *ORDERS, *[f"{f}_windows" for f in ORDERS]]

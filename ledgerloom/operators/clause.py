@@ -115,3 +115,10 @@ def page(rows: DataFrame, where: _Filter, id_col: str, limit: int, from_block: i
     if after is not None:
         rows = rows.where(F.col(id_col) < after if descending else F.col(id_col) > after)
     return where.apply(rows).orderBy(F.desc(id_col) if descending else F.asc(id_col)).limit(limit)
+
+
+def prefix_page(rows: DataFrame, column: str, prefix: str, after: str | None, limit: int) -> DataFrame:
+    """(key): at most ``limit`` distinct values with a prefix, in order, beyond ``after``; the bounds reach the scan."""
+    key = F.col(column)
+    wanted = key.startswith(prefix) if after is None else key.startswith(prefix) & (key > after)
+    return rows.where(wanted).select(key.alias("key")).distinct().orderBy("key").limit(limit)

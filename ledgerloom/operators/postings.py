@@ -59,7 +59,7 @@ def intersection_of(parts: list[DataFrame]) -> DataFrame:
 
 def ids_of(bitmaps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(row_id) of the set bits, found in the JVM: chunks that aren't zero, then their bytes, then their bits."""
-    size = bucket // 8 // CHUNK
+    size = BUCKET // 8 // CHUNK  # a bitmap has 4 KB whatever the bucket
     chunks = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda c: F.struct(c.alias("chunk"), F.substring(F.col("bits"), c * CHUNK + 1, F.lit(CHUNK)).alias("part")))
     rows = bitmaps.select("bucket", F.inline(chunks)).where(F.col("part") != F.unhex(F.lit("00" * CHUNK)))
     byte = F.conv(F.substring(F.hex("part"), 2 * F.col("at") + 1, F.lit(2)), 16, 10).cast("int")
@@ -68,9 +68,9 @@ def ids_of(bitmaps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return rows.select("bucket", "at", bit.alias("bit")).select((F.col("bucket") * bucket + F.col("at") * 8 + F.col("bit")).cast("long").alias("row_id"))
 
 
-def candidates(postings: DataFrame, clauses: dict[str, list[str]]) -> DataFrame:
+def candidates(postings: DataFrame, clauses: dict[str, list[str]], bucket: int = BUCKET) -> DataFrame:
     """(row_id) that satisfies every clause, by OR inside a clause and AND across; at least one clause."""
-    return ids_of(intersection_of([union_of(postings, k, vs) for k, vs in clauses.items()]))
+    return ids_of(intersection_of([union_of(postings, k, vs) for k, vs in clauses.items()]), bucket)
 
 
 def matching(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def estimate(postings: DataFrame, kind: str, values: list[str], first_id: int, l
     return postings.where(hit).agg(F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("estimate"))
 
 
-def executed(rows: DataFrame, id_col: str, index: DataFrame, clauses: dict[str, list[str]], first_id: int, last_id: int, where=None, take: int | None = None) -> DataFrame:
+def executed(rows: DataFrame, id_col: str, index: DataFrame, clauses: dict[str, list[str]], first_id: int, last_id: int, where=None, take: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """Rows of an id range that the index names for every clause and ``where`` confirms, in id order, at most ``take``.
 
     No clauses: every id of the range is a candidate.  Only pages that touch the range are read.
@@ -91,6 +91,6 @@ def executed(rows: DataFrame, id_col: str, index: DataFrame, clauses: dict[str,
     out = rows.where(F.col(id_col).between(first_id, last_id))
     if clauses:
         touched = index.where((F.col("first_id") <= last_id) & (F.col("last_id") >= first_id))
-        out = matching(out, id_col, candidates(touched, clauses))
+        out = matching(out, id_col, candidates(touched, clauses, bucket))
     out = where.apply(out) if where is not None else out
     return out.orderBy(id_col) if take is None else out.orderBy(id_col).limit(take)

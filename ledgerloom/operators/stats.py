@@ -64,12 +64,10 @@ def logs_per_block(blocks: DataFrame) -> DataFrame:
 
 def logs_per_window(blocks: DataFrame, size: int, start: int | None = None) -> DataFrame:
     """Tumbling windows of ``size`` block numbers from the first block on; empty ones count as zero."""
-    ends = blocks.agg(F.min("block_number").alias("low"), F.max("block_number").alias("high"))
-    first = F.col("low") if start is None else long(start)
-    windows = ends.select(first.alias("origin"), F.explode(F.sequence(long(0), F.floor((F.col("high") - first) / size))).alias("w"))
-    origin = ends.select(first.alias("_origin"))
-    held = blocks.join(F.broadcast(origin)).select(F.floor((F.col("block_number") - F.col("_origin")) / size).alias("w"), "n_logs") if start is None else blocks.select(F.floor((F.col("block_number") - first) / size).alias("w"), "n_logs")
-    sums = held.groupBy("w").agg(F.sum("n_logs").alias("n"))
+    ends = blocks.agg(F.min("block_number").alias("low"), F.max("block_number").alias("high")).first()
+    first = ends["low"] if start is None else start
+    windows = blocks.sparkSession.range(0 if ends["high"] is None else (ends["high"] - first) // size + 1).withColumnRenamed("id", "w")
+    sums = blocks.groupBy(F.floor((F.col("block_number") - F.lit(first)) / size).alias("w")).agg(F.sum("n_logs").alias("n"))
     return histogram(windows.join(sums, "w", "left").select(F.coalesce("n", long(0)).alias("v")), "logs_per_window", size)
 
 
@@ -119,10 +117,27 @@ def densest(blocks: DataFrame, n: int) -> DataFrame:
     return blocks.orderBy(F.desc("n_logs"), "block_number").limit(n)
 
 
+#: Ranges of values that percentiles are first looked for in.
+RANGES = 1_024
+
+
 def percentiles(rows: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """(share, value): the sorted value at round((n - 1) * share), halves up; values are counted before they are ranked."""
+    """(share, value): the sorted value at round((n - 1) * share), halves up; values are counted before they are ranked.
+
+    Values are dealt to RANGES equal ranges, one row each; the ranges say which of them holds a share's
+    place, and only values of those are ranked, each range for itself.
+    """
     counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    ranked = counts.select("value", "n", F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
-    total = counts.agg(F.sum("n").alias("total"))
+    ends = counts.agg(F.min("value").cast("double").alias("low"), F.max("value").cast("double").alias("high"))
+    cut = F.when(F.col("high") > F.col("low"), F.least(F.lit(RANGES - 1), F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * RANGES))).otherwise(F.lit(0))
+    counts = counts.join(F.broadcast(ends)).select("value", "n", cut.cast("long").alias("cut"))  # one row of ends
+    ranges = counts.groupBy("cut").agg(F.sum("n").alias("own"))
+    upto = F.sum("own").over(Window.orderBy("cut").rowsBetween(Window.unboundedPreceding, 0))
+    ranges = ranges.select("cut", (upto - F.col("own")).alias("before"), upto.alias("upto"))  # RANGES rows at most
+    total = ranges.agg(F.max("upto").alias("total"))
     wanted = total.select("total", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")).select("share", F.floor((F.col("total") - 1) * F.col("share") + 0.5).alias("at"))
-    return ranked.join(F.broadcast(wanted), (F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n"))).select("share", "value")
+    held = ranges.join(F.broadcast(wanted), (F.col("at") >= F.col("before")) & (F.col("at") < F.col("upto"))).select(F.col("cut").alias("of"), "before", "share", "at")
+    ranked = counts.withColumn("behind", F.sum("n").over(Window.partitionBy("cut").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
+    found = ranked.join(F.broadcast(held), F.col("cut") == F.col("of"))  # a row for each share
+    place = F.col("at") - F.col("before")
+    return found.where((place < F.col("behind")) & (place >= F.col("behind") - F.col("n"))).select("share", "value")

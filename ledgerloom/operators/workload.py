@@ -14,39 +14,67 @@ from ..errors import InvalidParams
 from ..functions import coverage, draw, estimated_selectivity, long, selectivity_bucket
 
 TEMPLATES = ["single_address", "single_topic0", "address_topic0", "multi_address", "multi_topic0", "compound"]
-#: Shares of each template, OR widths and block spans of each profile: fixed values.
+#: Shares of each template, OR widths of addresses and topics, where block spans come from and their bounds (None: all
+#: blocks), and the share of empty results aimed at, for each profile: fixed values.
 PROFILES = {
-    "expected": {"mix": [0.30, 0.25, 0.25, 0.10, 0.08, 0.02], "widths": (1, 4), "span": (1, 50_000)},
-    "stress": {"mix": [0.10, 0.20, 0.20, 0.20, 0.20, 0.10], "widths": (2, 32), "span": (1_000, 500_000)},
-    "adversarial": {"mix": [0.05, 0.15, 0.15, 0.25, 0.25, 0.15], "widths": (8, 128), "span": (10_000, None)},
+    "expected": {"mix": [0.30, 0.25, 0.25, 0.10, 0.08, 0.02], "widths": (1, 4), "topic_widths": (1, 4), "source": "empirical", "span": (1, 50_000), "empty": 0.0},
+    "stress": {"mix": [0.10, 0.20, 0.20, 0.20, 0.20, 0.10], "widths": (2, 32), "topic_widths": (2, 32), "source": "empirical_upper_tail", "span": (1_000, 500_000), "empty": 0.0},
+    "adversarial": {"mix": [0.05, 0.15, 0.15, 0.25, 0.25, 0.15], "widths": (8, 128), "topic_widths": (8, 128), "source": "heavy_near_full_range", "span": (10_000, None), "empty": 0.10},
 }
 UNIT = float(1 << 48)
+#: Traces of a profile where nothing else is said.
+TRACES = 100_000
 
 
 @dataclass
 class Config:
+    """Settings of a dataset and its traces.
+
+    Threads, queue sizes, the spans' source and the share of empty results say nothing to Spark; they are
+    kept because the hash of the settings covers them.  The seed is not among those.
+    """
+
     seed: int = 0
-    trace_size_per_profile: int = 100_000
+    trace_size_per_profile: int = field(default_factory=lambda: TRACES)
     scale_factor: float = 1.0
+    max_threads: int | None = None
+    event_queue_capacity: int = 8_192
+    task_queue_capacity: int = 4_096
     cooccurrence_top_k_per_type: int = 10_000
     logs_per_window_size_blocks: int = 1_000
     profiles: dict = field(default_factory=lambda: {k: dict(v) for k, v in PROFILES.items()})
 
     def validate(self) -> Config:
-        if self.trace_size_per_profile <= 0 or self.scale_factor <= 0 or self.cooccurrence_top_k_per_type <= 0 or self.logs_per_window_size_blocks <= 0:
+        sizes = [self.trace_size_per_profile, self.cooccurrence_top_k_per_type, self.logs_per_window_size_blocks, self.event_queue_capacity, self.task_queue_capacity, self.max_threads or 1]
+        if min(sizes) < 1 or self.scale_factor <= 0 or self.max_threads == 0:
             raise InvalidParams("sizes must be positive")
         for name, p in self.profiles.items():
             if abs(sum(p["mix"]) - 1) > 1e-9 or min(p["mix"]) < 0:
                 raise InvalidParams(f"{name}: the template mix must be shares that sum to 1")
-            for low, high in (p["widths"], p["span"]):
+            if not 0 <= p["empty"] <= 1:
+                raise InvalidParams(f"{name}: the share of empty results must be from 0 to 1")
+            for low, high in (p["widths"], p["topic_widths"], p["span"]):
                 if low < 1 or (high is not None and high < low):
                     raise InvalidParams(f"{name}: bounds must be 1 <= min <= max")
         return self
 
+    def document(self) -> dict:
+        """The settings under their names in the canonical JSON."""
+        width = lambda w: {"min": w[0], "max": w[1]}
+        profiles = {
+            name: {
+                "template_mix": dict(zip(TEMPLATES, p["mix"], strict=True)), "address_or_width": width(p["widths"]), "topic0_or_width": width(p["topic_widths"]),
+                "block_range_blocks": {"source": p["source"], "min": p["span"][0], "max": "full_range" if p["span"][1] is None else p["span"][1]}, "empty_result_target_share": p["empty"],
+            }
+            for name, p in self.profiles.items()
+        }
+        own = {k: v for k, v in self.__dict__.items() if k not in ("seed", "profiles")}
+        return own | {"max_threads": "num_cpus" if self.max_threads is None else self.max_threads, "profiles": profiles}
+
     def digest(self) -> str:
         """sha256 of the canonical JSON: keys sorted, no blanks, whole floats as integers."""
-        plain = lambda v: int(v) if isinstance(v, float) and v.is_integer() else {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else [plain(x) for x in v] if isinstance(v, (list, tuple)) else v
-        return hashlib.sha256(json.dumps(plain(self.__dict__), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+        plain = lambda v: int(v) if isinstance(v, float) and v.is_integer() else {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else v
+        return hashlib.sha256(json.dumps(plain(self.document()), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
 def derived_seed(seed: int, domain: str) -> str:
@@ -85,8 +113,8 @@ def template_of(u: Column, mix: list[float]) -> Column:
 def traces(spark: SparkSession, stats: DataFrame, start: int, end: int, missing: list[tuple[int, int]] = (), config: Config | None = None) -> DataFrame:
     """Trace entries of all profiles; ``stats(key_type, key_value)`` names the addresses and topics to draw from.
 
-    Draws are hashes of (seed, profile, id, name): the same traces on any number of partitions.  A
-    drawn number finds its key by a join, so the keys need not fit in one place.
+    Draws are hashes of (seed derived for the profile, id, name): the same traces on any number of
+    partitions.  A drawn number finds its key by a join, so the keys need not fit in one place.
     """
     config = (config or Config()).validate()
     n = int(config.trace_size_per_profile * config.scale_factor + 0.5)
@@ -97,8 +125,9 @@ def traces(spark: SparkSession, stats: DataFrame, start: int, end: int, missing:
     sizes = keys.agg(total("address").alias("address"), total("topic0").alias("topic0"))
     wanted = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(w).alias("width"), F.col(k).alias("size")) for k, w in (("address", "aw"), ("topic0", "tw"))])
     draws = rows.join(F.broadcast(sizes)).select("profile", "n", F.inline(wanted)).where("width > 0 and size > 0")  # one row of sizes
-    draws = draws.select("profile", "n", "kind", "size", F.explode(F.sequence(long(1), F.col("width"))).alias("k"))
-    draws = draws.select("profile", "n", "kind", "k", (draw(config.seed, F.col("profile"), F.col("n"), F.col("kind"), F.col("k")) % F.col("size")).alias("at"))
+    own = F.create_map(*[F.lit(x) for p in config.profiles for x in (p, derived_seed(config.seed, p))])
+    draws = draws.select("profile", "n", "kind", "size", own[F.col("profile")].alias("seed"), F.explode(F.sequence(long(1), F.col("width"))).alias("k"))
+    draws = draws.select("profile", "n", "kind", "k", (draw(F.col("seed"), F.col("n"), F.col("kind"), F.col("k")) % F.col("size")).alias("at"))
     found = draws.join(keys, ["kind", "at"]).groupBy("profile", "n")
     in_order = lambda kind: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("k", "key")))), lambda x: x["key"])
     lists = found.agg(in_order("address").alias("address_or"), in_order("topic0").alias("topic0_or"))  # at most as long as the OR widths
@@ -114,12 +143,14 @@ def traces(spark: SparkSession, stats: DataFrame, start: int, end: int, missing:
 
 def _plan(spark: SparkSession, profile: str, p: dict, n: int, start: int, end: int, seed: int) -> DataFrame:
     """(profile, n, template, from_block, to_block, span, aw, tw): all of a profile's traces but their keys."""
-    d = lambda what: draw(seed, F.lit(profile), F.col("n"), F.lit(what))
+    own = F.lit(derived_seed(seed, profile))
+    d = lambda what: draw(own, F.col("n"), F.lit(what))
     low, high = p["widths"]
+    t_low, t_high = p["topic_widths"]
     total = end - start + 1
     most = min(p["span"][1] or total, total)
     span = pick(d("span"), long(min(p["span"][0], most)), long(most))
-    rows = spark.range(n).withColumnRenamed("id", "n").select("n", template_of(d("template"), p["mix"]).alias("template"), span.alias("span"), pick(d("a_width"), long(low), long(high)).alias("aw"), pick(d("t_width"), long(low), long(high)).alias("tw"))
+    rows = spark.range(n).withColumnRenamed("id", "n").select("n", template_of(d("template"), p["mix"]).alias("template"), span.alias("span"), pick(d("a_width"), long(low), long(high)).alias("aw"), pick(d("t_width"), long(t_low), long(t_high)).alias("tw"))
     first = pick(d("start"), long(start), long(end) - F.col("span") + 1)
     width = lambda one, many, c: F.when(F.col("template").isin(one), long(1)).when(F.col("template").isin(many), F.col(c)).otherwise(long(0))
     return rows.select(
@@ -128,16 +159,38 @@ def _plan(spark: SparkSession, profile: str, p: dict, n: int, start: int, end: i
     )
 
 
-def replay_counts(traces: DataFrame, logs: DataFrame, block_col: str = "block_num") -> DataFrame:
-    """(id, matches): every trace's result size, by equi-joins on its keys rather than a query each.
+#: Block numbers of one window task of a replay.
+SPAN = 256
+
+
+def replay_counts(traces: DataFrame, logs: DataFrame, block_col: str = "block_num", span: int = SPAN) -> DataFrame:
+    """(id, matches): every trace's result size from running counts, rather than a query each.
 
-    A trace that names addresses meets logs by address, else by topic; logs are first summed per
-    (address, topic, block), and the trace's own list bounds how often it is repeated.
+    A key is an address, a topic or a pair of both, as the trace names them; its logs up to the trace's last
+    block, less those before its first, are its part of the result.  Counts and the traces' two ends are
+    sorted together by (key, span of blocks, block) and summed up once, with one carried row per key and
+    span, so neither a hot key nor a wide range meets the logs themselves.
     """
-    cells = logs.groupBy("address", "topic0", F.col(block_col).alias("block")).agg(F.count("*").alias("n"))
-    by = lambda t, keys, key: t.withColumn("_key", F.explode(F.array_distinct(keys))).join(cells, F.col("_key") == F.col(key))
-    inside = F.col("block").between(F.col("from_block"), F.col("to_block"))
-    a = by(traces.where("size(address_or) > 0"), "address_or", "address").where(inside & ((F.size("topic0_or") == 0) | F.array_contains("topic0_or", F.col("topic0"))))
-    b = by(traces.where("size(address_or) = 0 and size(topic0_or) > 0"), "topic0_or", "topic0").where(inside)
-    counts = a.select("id", "n").union(b.select("id", "n")).groupBy("id").agg(F.sum("n").alias("matches"))
+    name = lambda kind, *parts: F.concat(F.lit(kind), *parts)
+    pair = lambda a, t: name("p", F.length(a).cast("string"), F.lit(":"), a, t)
+    kinds = F.array(name("a", F.col("address")), name("t", F.col("topic0")), pair(F.col("address"), F.col("topic0")))
+    hashed = lambda key: [F.xxhash64(key).alias("k1"), F.xxhash64(F.lit(1), key).alias("k2")]  # noqa: E731  128 bits stand for a key
+    cells = logs.select(F.col(block_col).alias("block"), F.explode(kinds).alias("key")).where("key is not null").select(*hashed(F.col("key")), "block")
+    cells = cells.groupBy("k1", "k2", "block").agg(F.count("*").alias("n"))
+    t = traces.select("id", "from_block", "to_block", F.array_distinct("address_or").alias("a"), F.array_distinct("topic0_or").alias("t"))
+    both = F.flatten(F.transform("a", lambda a: F.transform("t", lambda t: pair(a, t))))
+    keys = F.when(F.size("t") == 0, F.transform("a", lambda a: name("a", a))).when(F.size("a") == 0, F.transform("t", lambda t: name("t", t))).otherwise(both)
+    asked = t.select("id", "from_block", "to_block", F.explode(keys).alias("key")).select("id", *hashed(F.col("key")), "from_block", "to_block")
+    ends = F.array(F.struct(F.col("to_block").alias("block"), long(1).alias("sign")), F.struct((F.col("from_block") - 1).alias("block"), long(-1).alias("sign")))
+    asked = asked.select("k1", "k2", "id", F.inline(ends))
+    rows = cells.select("k1", "k2", "block", "n", F.lit(None).cast("string").alias("id"), long(0).alias("sign")).unionByName(asked.withColumn("n", long(0)))
+    rows = rows.withColumn("cut", F.floor(F.col("block") / span))
+    # at a block its count comes before the ends that stand there
+    own = Window.partitionBy("k1", "k2", "cut").orderBy("block", F.col("id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.groupBy("k1", "k2", "cut").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("k1", "k2").orderBy("cut").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    before = sums.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("cut").alias("c"), before.alias("before"))
+    seen = rows.withColumn("upto", F.sum("n").over(own)).where("sign <> 0")
+    seen = seen.join(before, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("cut") == F.col("c")))
+    counts = seen.groupBy("id").agg(F.sum(F.col("sign") * (F.col("upto") + F.col("before"))).alias("matches"))
     return traces.select("id").join(counts, "id", "left").select("id", F.coalesce("matches", long(0)).alias("matches"))

@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 
 from ..errors import CasConflict
 from ..functions import compose_id, coverage, local_of, long, page_of, selectivity_bucket, shard_of, stream_id
-from ..ingest import HadoopPublicationStore, Publication
+from ..ingest import HadoopPublicationStore, Ingestor, LeaseAuthority, Publication
 from ..operators import postings, stats, workload
-from ..operators.clause import Clause, LogFilter, TraceFilter, TxFilter, page
-from ..operators.ids import block_windows, bucket_starts, contiguous_runs, id_window, resolve_ids
+from ..operators.clause import Clause, LogFilter, TraceFilter, TxFilter, page, prefix_page
+from ..operators.ids import assign_ids, block_windows, bucket_starts, contiguous_runs, id_window, resolve_ids
 from ..scratch import materialized, scratch_path
-from ..service import blocks_with_txs, related, transfers, with_block_refs
+from ..service import HistoryService, Request, blocks_with_txs, related, transfers, with_block_refs
 from ..sources import artifacts, rlp, testdata
 from ..sources.events import flattened_logs, rebased
-from ..streaming import accepted, first_error
+from ..streaming import accepted, event_source, first_error, validate_stream
 
 ADDRS = [f"{i:040x}" for i in (1, 2, 3)]
 LOG = ["log_id", "block_num", "tx_idx", "log_idx", "address", "topic0", "topic1", "topic2", "topic3"]
@@ -63,12 +63,13 @@ def _any_vs_value(s: SparkSession, d: str) -> DataFrame:
 
 
 def _page_walk(s: SparkSession, d: str) -> DataFrame:
-    rank = F.row_number().over(Window.orderBy("log_id"))
-    return THREE.apply(_logs(s, d)).select("log_id", F.ceil(rank / 100).cast("long").alias("page"))
+    """Pages of 100 over one filter: places in the result by a count per block and a place inside it, not by one window."""
+    ranked = assign_ids(THREE.apply(_logs(s, d)), "log_id", "place")
+    return ranked.select("log_id", (F.floor(F.col("place") / 100) + 1).cast("long").alias("page"))
 
 
 def _block_with_txs(s: SparkSession, d: str) -> DataFrame:
-    both = blocks_with_txs(testdata.blocks(s, d).where("block_num <= 200"), testdata.txs(s, d))
+    both = blocks_with_txs(testdata.blocks(s, d), testdata.txs(s, d))
     return both.select("block_num", F.size("txs").cast("long").alias("n_txs"), F.array_join("txs.tx_hash", ",").alias("tx_hashes"))
 
 
@@ -98,8 +99,10 @@ def _twice(s: SparkSession, d: str) -> DataFrame:
 
 
 def _coverage(s: SparkSession, d: str) -> DataFrame:
-    first = stats.first_gaps(testdata.event_blocks(s, d)).agg(F.collect_list(F.struct("start", "end")).alias("missing"))  # at most 100
-    q = s.range(50).join(F.broadcast(first))
+    """Ranges of 500 blocks, each 100 on, up to the last block, against the gaps that a manifest records (at most 100)."""
+    blocks = testdata.event_blocks(s, d)
+    first = stats.first_gaps(blocks).agg(F.collect_list(F.struct("start", "end")).alias("missing"))
+    q = s.range(blocks.agg(F.max("block_number")).first()[0] // 100 + 1).join(F.broadcast(first))
     return q.select("id", coverage(F.col("id") * 100, F.col("id") * 100 + 499, F.col("missing")).alias("ratio"))
 
 
@@ -110,16 +113,15 @@ def _shards(s: SparkSession, d: str) -> DataFrame:
 
 
 def _workload_rows(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    logs = _logs(s, d)
+    """Traces of the usual number, drawn from the statistics of all keys."""
+    logs = materialized(_logs(s, d))
     ends = logs.agg(F.min("block_num"), F.max("block_num")).first()
-    made = stats.top_pairs(stats.cooccurrence(logs), 200).where("pair_type = 'address_topic0'")
-    keys = made.select(F.inline(F.array(*[F.struct(F.lit(k).alias("key_type"), F.col(c).alias("key_value")) for k, c in (("address", "left_key"), ("topic0", "right_key"))])))
-    return workload.traces(s, materialized(keys), ends[0], ends[1], config=workload.Config(seed=7, trace_size_per_profile=200)), logs
+    return workload.traces(s, materialized(stats.key_stats(logs)), ends[0], ends[1], config=workload.Config(seed=7)), logs
 
 
 def _workload(s: SparkSession, d: str) -> DataFrame:
     rows, _ = _workload_rows(s, d)
-    return rows.select("id", "profile", "template", "from_block", "to_block", F.size("address_or").cast("long").alias("n_addresses"), F.size("topic0_or").cast("long").alias("n_topics"))
+    return rows.select("id", "profile", "template", "from_block", "to_block", F.size("address_or").cast("long").alias("n_addresses"), F.size("topic0_or").cast("long").alias("n_topics"), "expected_selectivity_bucket")
 
 
 def _replay(s: SparkSession, d: str) -> DataFrame:
@@ -127,9 +129,63 @@ def _replay(s: SparkSession, d: str) -> DataFrame:
     return workload.replay_counts(materialized(traces), logs)
 
 
+def _ingested(s: SparkSession, d: str, bucket: int = postings.BUCKET) -> tuple[Ingestor, list[dict]]:
+    """The chain ingested in two batches, and what each of them wrote."""
+    root = scratch_path(s)
+    writer = Ingestor(s, root, LeaseAuthority(HadoopPublicationStore(s, f"{root}/publication"), "me", lambda: 1), bucket)
+    tables = {"blocks": testdata.blocks(s, d), "txs": testdata.txs(s, d), "logs": testdata.logs(s, d), "traces": testdata.traces(s, d)}
+    tables = {k: materialized(v.drop("tx_id", "log_id", "trace_id")) for k, v in tables.items()}
+    half = tables["blocks"].count() // 2
+    return writer, [writer.ingest({k: v.where(part) for k, v in tables.items()}) for part in (F.col("block_num") <= half, F.col("block_num") > half)]
+
+
 def _outcome(s: SparkSession, d: str) -> DataFrame:
-    n = lambda df, name: df.agg(F.count("*").alias(name))
-    return n(testdata.logs(s, d), "written_logs").join(F.broadcast(n(testdata.txs(s, d), "written_txs"))).join(F.broadcast(n(testdata.traces(s, d), "written_traces")))
+    _, made = _ingested(s, d)
+    return s.createDataFrame([(made[-1]["head"], *[sum(m[f"written_{f}"] for m in made) for f in ("logs", "txs", "traces")])], "head long, written_logs long, written_txs long, written_traces long")
+
+
+def _roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """Logs as the ingested history has them, ids and all."""
+    return _ingested(s, d)[0].tables()["logs"].select(*LOG, "data")
+
+
+def _index(s: SparkSession, d: str) -> DataFrame:
+    """Postings of an ingested history: pages of the buckets that its batches have filled, fragments of the last."""
+    return _ingested(s, d)[0].postings("logs").select("kind", "value", "bucket", "count", "first_id", "last_id")
+
+
+def _recovered(s: SparkSession, d: str) -> DataFrame:
+    """The same after a crash that left a batch beyond the head, a fragment that is lost and a page that isn't complete."""
+    writer, made = _ingested(s, d)
+    beyond = f"batch={made[-1]['head'] + 1:020d}"
+    own = s.read.parquet(f"{writer.root}/logs").drop("batch")
+    own.write.parquet(f"{writer.root}/logs/{beyond}")
+    writer.index.add("logs", own, beyond)
+    name = writer.index._names(f"{writer.root}/logs_index")[0]
+    writer.index._delete(f"{writer.root}/logs_index/{name}")
+    s.range(1).write.parquet(f"{writer.root}/logs_pages/000000000000-000000000009")
+    writer.index._delete(f"{writer.root}/logs_pages/000000000000-000000000009/_SUCCESS")
+    writer.recover()
+    return writer.postings("logs").select("kind", "value", "bucket", "count", "first_id", "last_id")
+
+
+def _indexed_page(s: SparkSession, d: str) -> DataFrame:
+    """A page that the service finds through the index: has_more and the place to go on from beside the rows."""
+    writer, made = _ingested(s, d)
+    service = HistoryService(writer.tables(), made[-1]["head"], writer=writer, use_index=True)
+    found = service.query_logs(Request(50, LogFilter(address=Clause.any_of(ADDRS), topic0=Clause.one("NO")), from_block_hash=_sha("block:10"), to_block=900))
+    rows = [(r["log_id"], r["block_num"], r["address"], found.has_more, found.next_resume_id, found.to_block.hash) for r in found.items]
+    return s.createDataFrame(rows, "log_id long, block_num long, address string, has_more boolean, next_resume_id long, to_hash string")
+
+
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    """Faulty events in files of a third of the stream each, an epoch for each file."""
+    folder, events = scratch_path(s), materialized(_faulty_events(s, d))
+    n = events.where("seq < 1000000").count()
+    for k, part in enumerate((f"seq <= {n // 3}", f"seq > {n // 3} and seq <= {2 * n // 3}", f"seq > {2 * n // 3}")):
+        events.where(part).coalesce(1).write.parquet(f"{folder}/in/{k}")
+    source = event_source(s, f"{folder}/in/*", "seq long, chain_id long, block_number long, block_hash string")
+    return s.createDataFrame([tuple(validate_stream(source, f"{folder}/validated", 1).values())], "valid boolean, error string, blocks_observed long, start_block long, end_block long")
 
 
 def _linkage(s: SparkSession, d: str) -> DataFrame:
@@ -145,7 +201,7 @@ def _sealed(s: SparkSession, d: str) -> DataFrame:
 def _artifacts(s: SparkSession, d: str) -> DataFrame:
     """Statistics written in their fixed schemas and read back."""
     logs, blocks, folder = _logs(s, d), testdata.event_blocks(s, d), scratch_path(s)
-    tables = {"key_stats": stats.key_stats(logs), "cooccurrence": stats.top_pairs(stats.cooccurrence(logs), 50), "range_stats": stats.logs_per_block(blocks)}
+    tables = {"key_stats": stats.key_stats(logs), "cooccurrence": stats.top_pairs(stats.cooccurrence(logs), workload.Config().cooccurrence_top_k_per_type), "range_stats": stats.logs_per_block(blocks)}
     artifacts.write_stats(tables, folder)
     n = lambda name, df, first, count: df.agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"), F.sum(count).alias("total"), F.min(first).alias("first"))
     got = artifacts.read_stats(s, folder)
@@ -202,7 +258,7 @@ def queries() -> dict[str, Query]:
     return {
         "chain_blocks": t.blocks,
         "chain_txs": lambda s, d: t.txs(s, d).select(*TX),
-        "chain_logs": _logs,
+        "chain_logs": lambda s, d: t.logs(s, d).select(*LOG, "data"),
         "chain_traces": lambda s, d: t.traces(s, d).select(*TRACE, "input_len", "is_top_level", "has_value", "is_call"),
         "block_windows": _windows,
         "log_filter_page": log_filter_page,
@@ -213,7 +269,7 @@ def queries() -> dict[str, Query]:
         "log_filter_compound": _log(LogFilter(address=Clause.any_of(ADDRS), topic0=Clause.one("NO"), topic2=Clause.any_of(["1", "2", "3"]))),
         "log_resume_page": lambda s, d: page(_logs(s, d), THREE, "log_id", 50, after=500),
         "log_page_walk": _page_walk,
-        "log_unfiltered_scan": lambda s, d: _logs(s, d).where("block_num between 10 and 30"),
+        "log_unfiltered_scan": _log(LogFilter()),
         "log_id_window": lambda s, d: id_window(_windows(s, d), 100, 900),
         "log_desc_page": lambda s, d: page(_logs(s, d), THREE, "log_id", 100, descending=True),
         "log_block_refs": lambda s, d: with_block_refs(THREE.apply(_logs(s, d)), t.blocks(s, d)).select("log_id", "block_num", "block_hash", "parent_hash"),
@@ -248,7 +304,7 @@ def queries() -> dict[str, Query]:
         "page_cardinality_estimate": lambda s, d: postings.estimate(_postings(s, d), "addr", ADDRS, 100, 5000),
         "tx_streams": lambda s, d: _kinds(postings.tx_streams(t.txs(s, d))),
         "trace_streams": lambda s, d: _kinds(postings.trace_streams(t.traces(s, d))),
-        "directory_resolve": lambda s, d: resolve_ids(t.logs(s, d).where("log_id % 37 = 0").select(F.col("log_id").alias("row_id")), _windows(s, d)),
+        "directory_resolve": lambda s, d: resolve_ids(t.logs(s, d).select(F.col("log_id").alias("row_id")), _windows(s, d)),
         "contiguous_runs": lambda s, d: contiguous_runs(LogFilter(topic0=Clause.any_of(["NO", "RF"])).apply(_logs(s, d)), "log_id"),
         "shard_local_page": _shards,
         "density_scan": lambda s, d: stats.density(t.event_blocks(s, d), 10),
@@ -258,7 +314,12 @@ def queries() -> dict[str, Query]:
         "latency_percentiles": lambda s, d: stats.percentiles(t.event_blocks(s, d), "n_logs", [0.5, 0.95, 0.99, 1.0]),
         "count_by_key_type": lambda s, d: _stats(s, d).groupBy("key_type").agg(F.count("*").alias("n")),
         "ingest_outcome": _outcome,
-        "key_prefix_listing": lambda s, d: _logs(s, d).select(F.col("address").alias("key")).distinct().where(F.col("key").startswith("0" * 39) & (F.col("key") > ADDRS[1])).orderBy("key").limit(5),
+        "ingest_roundtrip": _roundtrip,
+        "index_after_ingest": _index,
+        "recovered_index": _recovered,
+        "indexed_page": _indexed_page,
+        "stream_validation": _streamed,
+        "key_prefix_listing": lambda s, d: prefix_page(_logs(s, d), "address", "0" * 39, ADDRS[1], 5),
         "linkage_check": _linkage,
         "sealed_buckets": _sealed,
         "workload_traces": _workload,

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .errors import InvalidParams, NotFound, ReadOnlyMode, Unsupported
-from .operators.clause import MAX_OR_TERMS, LogFilter, TraceFilter, TxFilter, _Filter, page
+from .operators import postings
+from .operators.clause import MAX_OR_TERMS, LogFilter, TraceFilter, TxFilter, _Filter, page, prefix_page
 from .operators.ids import id_window
 
 FAMILIES = {"logs": "log_id", "txs": "tx_id", "traces": "trace_id"}
@@ -54,8 +55,9 @@ def effective_limit(limit: int, budget: int | None) -> int:
 class HistoryService:
     """Readers see blocks up to ``head`` only.  ``tables``: blocks, logs, txs, traces and <family>_windows."""
 
-    def __init__(self, tables: dict[str, DataFrame], head: int, reader_only: bool = True, max_or_terms: int = MAX_OR_TERMS, writer=None):
-        self.tables, self.head, self.reader_only, self.max_or_terms, self.writer = tables, head, reader_only, max_or_terms, writer
+    def __init__(self, tables: dict[str, DataFrame], head: int, reader_only: bool = True, max_or_terms: int = MAX_OR_TERMS, writer=None, use_index: bool = False):
+        """``use_index``: queries with clauses go through the writer's postings; the same rows as by scanning."""
+        self.tables, self.head, self.reader_only, self.max_or_terms, self.writer, self.use_index = tables, head, reader_only, max_or_terms, writer, use_index
 
     def indexed_finalized_head(self) -> int:
         return self.head
@@ -116,7 +118,11 @@ class HistoryService:
             return self._empty(low, high)
         if q.resume_id is not None and not inside:
             raise InvalidParams("resume_id lies outside the range")
-        rows = page(self.tables[family], where, id_col, limit + 1, start, end, q.resume_id, q.order == "desc").collect()  # limit + 1 rows
+        rows = self.tables[family]
+        if self.use_index and where.indexed():
+            after, stop = window["first_id"] if q.resume_id is None or q.order == "desc" else q.resume_id, window["last_id"] if q.resume_id is None or q.order == "asc" else q.resume_id
+            rows = postings.executed(rows, id_col, self.writer.postings(family), index_clauses(family, where), after, stop, bucket=self.writer.index.bucket)
+        rows = page(rows, where, id_col, limit + 1, start, end, q.resume_id, q.order == "desc").collect()  # limit + 1 rows
         more, rows = len(rows) > limit, rows[:limit]
         cursor = self._ref(rows[-1]["block_num"]) if rows else high
         return Page(rows, more, rows[-1][id_col] if more else None, low, high, cursor)
@@ -144,6 +150,11 @@ class HistoryService:
         more, rows = len(rows) > limit, rows[:limit]
         return Page(rows, more, None, low, high, self._ref(rows[-1]["block_num"]))
 
+    def list_keys(self, family: str, column: str, prefix: str, after: str | None = None, limit: int = 100) -> list[str]:
+        """Distinct keys with a prefix, in order, behind ``after``: pass the last one on to go on."""
+        rows = self.tables[family].where(F.col("block_num") <= self.head)
+        return [r["key"] for r in prefix_page(rows, column, prefix, after, effective_limit(limit, None)).collect()]
+
     def get_tx(self, digest: str) -> Row | None:
         return self.tables["txs"].where((F.col("tx_hash") == digest) & (F.col("block_num") <= self.head)).first()
 
@@ -168,6 +179,13 @@ class HistoryService:
         return out
 
 
+def index_clauses(family: str, where: _Filter) -> dict[str, list[str]]:
+    """{kind of posting: values} of a filter's clauses, and of a wanted value."""
+    kinds = {"address": "addr", "from_addr": "from", "to_addr": "to"}
+    out = {kinds.get(name, name): list(c.values) for name, c in where._clauses().items() if c.indexed}
+    return out | ({"has_value": ["01"]} if family == "traces" and where.has_value is True else {})
+
+
 def with_block_refs(items: DataFrame, blocks: DataFrame) -> DataFrame:
     """Many-to-one: each item's block hash and parent hash; Spark broadcasts the blocks where they are small."""
     return items.join(blocks.select("block_num", "block_hash", "parent_hash"), "block_num", "left")

@@ -64,6 +64,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "block_num", "tx_idx", (F.row_number().over(Window.partitionBy("block_num").orderBy("tx_idx", *LINE_ORDER)) - 1).cast("long").alias("log_idx"),
         hex40(F.col("l_suppkey")).alias("address"), F.concat("l_returnflag", "l_linestatus").alias("topic0"), F.col("l_partkey").cast("string").alias("topic1"),
         F.when(deep, F.col("l_linenumber").cast("string")).alias("topic2"), F.when(deep & (F.col("l_tax") > 0.04), F.col("l_quantity").cast("long").cast("string")).alias("topic3"),
+        F.lpad(F.lower(F.hex("l_partkey")), 64, "0").alias("data"),
     )
     return assign_ids(rows, "log_idx", "log_id")
 

@@ -1,5 +1,8 @@
 """Filters, ids, statistics, validation and workloads on tiny fixtures with known answers."""
 
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from ledgerloom.operators import postings, stats, workload
 from ledgerloom.operators.clause import Clause, LogFilter, TraceFilter, TxFilter, page
 from ledgerloom.operators.ids import assign_ids, block_windows, contiguous_runs, id_window, resolve_ids
 from ledgerloom.sources import rlp
-from ledgerloom.streaming import first_error, run_stream, verdict
+from ledgerloom.streaming import StreamValidator, event_source, first_error, run_stream, validate_stream, verdict
 
 LOGS = "block_num long, address string, topic0 string, topic1 string, topic2 string, topic3 string"
 
@@ -173,6 +176,68 @@ def test_stream_equals_batch(spark, tmp_path):
     assert len(kept) == 3 and verdict(spark.read.parquet(f"{tmp_path}/out"), 1, 39) == verdict(df, 1, 39)
 
 
+def faulty(spark, events, cuts, folder):
+    """The events in files cut behind the given places, an epoch each, validated as a stream."""
+    edges = [0, *cuts, len(events)]
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        spark.createDataFrame([(*e, 0) for e in events[a:b]], EVENTS).coalesce(1).write.parquet(f"{folder}/in/{k:03d}")
+    return validate_stream(event_source(spark, f"{folder}/in/*", EVENTS), f"{folder}/out", 1)
+
+
+@pytest.mark.parametrize(
+    "events",
+    [
+        [(1, 1, 5, "a"), (2, 1, 6, "b"), (3, 1, 8, "c")],
+        [(1, 1, 5, "a"), (2, 1, 6, "b"), (3, 1, 5, "a"), (4, 1, 7, "c")],
+        [(1, 1, 5, "a"), (2, 1, 6, "b"), (3, 1, 5, "z"), (4, 1, 7, "c")],
+        [(1, 1, 5, "a"), (2, 1, 9, "b"), (3, 1, 7, "c"), (4, 2, 10, "d")],
+        [(1, 1, 5, "a"), (2, 1, 9, "b"), (3, 1, 5, "a"), (4, 1, 6, "c")],
+        [(1, 1, 5, "a"), (2, 2, 6, "b"), (3, 1, 5, "z")],
+    ],
+)
+def test_faults_across_epochs(spark, events, tmp_path):
+    """State is carried over epochs: however the stream is cut, the outcome is that of one batch."""
+    want = verdict(spark.createDataFrame([(*e, 0) for e in events], EVENTS), 1, None)
+    got = faulty(spark, events, list(range(1, len(events))), tmp_path)
+    assert got == want
+    kept = StreamValidator(spark, f"{tmp_path}/out", 1)
+    assert kept.accepted().count() == want["blocks_observed"]
+    before = kept.state()
+    kept(spark.createDataFrame([(*events[-1], 0)], EVENTS), len(events) - 1)  # the last epoch comes again
+    assert kept.state() == before and kept.accepted().count() == want["blocks_observed"]
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    rows = [(k, 1, k, str(k)) for k in range(1, 7)]
+    assert faulty(spark, rows[:3], [1], tmp_path)["end_block"] == 3
+    spark.createDataFrame([(*e, 0) for e in rows[3:]], EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in/009")
+    source = event_source(spark, f"{tmp_path}/in/*", EVENTS)
+    assert validate_stream(source, f"{tmp_path}/out", 1, expected_end=6) == {"valid": True, "error": None, "blocks_observed": 6, "start_block": 1, "end_block": 6}
+    sink = StreamValidator(spark, f"{tmp_path}/out", 1)
+    assert sink.finish(7)["error"] == "end_of_stream_mismatch" and sink.finish(None, closed=False)["error"] == "channel_closed_unexpectedly"
+
+
+def test_percentiles_of_real_values(spark):
+    own = random.Random(2)
+    for values in ([own.uniform(-5, 5) for _ in range(500)], [3.5] * 40, [own.choice([0.0, 1e9, 1e-9]) for _ in range(90)], [7.0]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        shares = [0.0, 0.1, 0.5, 0.95, 0.99, 1.0]
+        want = {s: sorted(values)[int((len(values) - 1) * s + 0.5)] for s in shares}
+        assert dict(stats.percentiles(df, "v", shares).collect()) == want
+    assert stats.percentiles(spark.createDataFrame([], "v double"), "v", [0.5]).count() == 0
+
+
+def test_config_hash():
+    """The canonical settings: names, whole floats as integers, nothing of the seed."""
+    own = workload.Config(seed=3, trace_size_per_profile=100_000)
+    text = json.dumps(own.document(), sort_keys=True)
+    assert '"address_or_width": {"max": 4, "min": 1}' in text and '"empty_result_target_share": 0.1' in text and '"max": "full_range"' in text and '"max_threads": "num_cpus"' in text
+    assert own.digest() == workload.Config(seed=4, trace_size_per_profile=100_000).digest() != workload.Config(max_threads=4).digest()
+    assert workload.derived_seed(7, "expected") != workload.derived_seed(7, "stress")
+    with pytest.raises(InvalidParams):
+        workload.Config(event_queue_capacity=0).validate()
+
+
 def test_workload(spark):
     pools = spark.createDataFrame([("address", k) for k in "abc"] + [("topic0", "t"), ("topic0", "u"), ("topic0", "u"), ("topic1", "x")], "key_type string, key_value string")
     assert sorted(tuple(r) for r in workload.indexed_keys(pools).groupBy("kind").agg(F.sort_array(F.collect_list("at")).cast("string")).collect()) == [("address", "[0, 1, 2]"), ("topic0", "[0, 1]")]

@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.errors import CasConflict, FinalityViolation, InvalidParams, InvalidParent, InvalidSequence, LeaseLost, LeaseObservationUnavailable, LeaseStillFresh, NotFound, QueryTooBroad, ReadOnlyMode
-from ledgerloom.ingest import ZEROS, Ingestor, LeaseAuthority, Publication, PublicationStore
+from ledgerloom import reports
+from ledgerloom.ingest import ZEROS, Ingestor, LeaseAuthority, MemoryPublicationStore, Publication, PublicationStore
 from ledgerloom.operators.clause import Clause, LogFilter, TraceFilter
 from ledgerloom.service import HistoryService, Request, effective_limit
+from ledgerloom.sources.artifacts import read_json
 
 BLOCKS = "block_num long, block_hash string, parent_hash string, timestamp long"
 TXS = "block_num long, tx_idx long, tx_hash string, from_addr string, to_addr string, selector string"
@@ -156,3 +158,70 @@ def test_leases(tmp_path):
     assert again.begin_write()[1] == "reacquired"
     with pytest.raises(InvalidParams):
         LeaseAuthority(store, "c", lambda: 1, lease_blocks=2, renew_threshold=2)
+
+
+def index_rows(writer, family="logs"):
+    return sorted(tuple(r) for r in writer.postings(family).select("kind", "value", "bucket", "count", "first_id", "last_id").collect())
+
+
+def plain_index(rows, bucket):
+    own = {}
+    for r in rows.collect():
+        for kind, column in (("addr", "address"), ("topic0", "topic0")):
+            own.setdefault((kind, r[column], r["log_id"] // bucket), []).append(r["log_id"])
+    return sorted((*k, len(v), min(v), max(v)) for k, v in own.items())
+
+
+def test_index_follows_the_batches(spark, tmp_path):
+    """Fragments of each batch, pages of the buckets that are full, the same index whichever they are."""
+    store = MemoryPublicationStore()
+    writer = Ingestor(spark, str(tmp_path), LeaseAuthority(store, "me", lambda: 1), bucket=8)
+    for k, numbers in enumerate(([1, 2], [3, 4], [5, 6, 7])):
+        writer.ingest(batch(spark, numbers, logs=3))
+        assert index_rows(writer) == plain_index(writer.tables()["logs"], 8)
+        assert writer.index.sealed("logs") == [0, 1, 2][k]
+    assert sorted(r["bucket"] for r in writer.index.open_buckets("logs", 7).collect()) == [2]
+    assert writer.index.seal("logs", 7, 18) == []
+    scan, by_index = (HistoryService(writer.tables(), 7, writer=writer, use_index=u) for u in (False, True))
+    for where in (LogFilter(address=Clause.one("a1")), LogFilter(address=Clause.any_of(["a0", "a2"]), topic0=Clause.one("t")), LogFilter(address=Clause.any_of([])), LogFilter(topic0=Clause.one("none"))):
+        for q in (Request(4, where, 1, 7), Request(3, where, 2, 6, order="desc"), Request(4, where, 1, 7, resume_id=7), Request(4, where, 1, 7, resume_id=7, order="desc")):
+            assert scan.query_logs(q) == by_index.query_logs(q)
+    assert [r["trace_id"] for r in by_index.query_traces(Request(9, TraceFilter(has_value=True), 1, 7)).items] == [r["trace_id"] for r in scan.query_traces(Request(9, TraceFilter(has_value=True), 1, 7)).items]
+    assert scan.list_keys("logs", "address", "a", limit=2) == ["a0", "a1"] and scan.list_keys("logs", "address", "a", after="a1") == ["a2"]
+
+
+def test_recovery(spark, tmp_path):
+    """Leftovers beyond the head and half-written pages go, lost fragments come back, due pages are sealed."""
+    store = MemoryPublicationStore()
+    writer = Ingestor(spark, str(tmp_path), LeaseAuthority(store, "me", lambda: 1), bucket=8)
+    writer.ingest(batch(spark, [1, 2], logs=3))
+    publish, writer.authority.publish = writer.authority.publish, lambda *a: (_ for _ in ()).throw(RuntimeError("crash"))
+    with pytest.raises(RuntimeError):
+        writer.ingest(batch(spark, [3, 4], logs=3))
+    writer.authority.publish = publish
+    assert index_rows(writer) == plain_index(writer.tables()["logs"], 8)
+    assert writer.recover()["removed_batches"] > 0
+    seal, writer.index.seal = writer.index.seal, lambda *a: (_ for _ in ()).throw(RuntimeError("crash"))
+    with pytest.raises(RuntimeError):
+        writer.ingest(batch(spark, [3, 4, 5], logs=4))
+    writer.index.seal = seal
+    assert store.load().head == 5 and index_rows(writer) == plain_index(writer.tables()["logs"], 8)
+    spark.range(1).write.parquet(f"{tmp_path}/logs_pages/000000000000-000000000001")
+    writer.index._delete(f"{tmp_path}/logs_pages/000000000000-000000000001/_SUCCESS")
+    writer.index._delete(f"{tmp_path}/logs_index/{writer.index._names(f'{tmp_path}/logs_index')[0]}")
+    done = writer.recover()
+    assert done["removed_pages"] == 1 and done["rebuilt_fragments"] == 1 and done["sealed"] >= 1
+    assert index_rows(writer) == plain_index(writer.tables()["logs"], 8)
+    assert writer.recover() == {"removed_batches": 0, "removed_pages": 0, "rebuilt_fragments": 0, "sealed": 0}
+
+
+def test_reports(spark, tmp_path):
+    writer = Ingestor(spark, f"{tmp_path}/h", LeaseAuthority(MemoryPublicationStore(), "me", lambda: 1))
+    made = reports.timed_ingest(writer, [batch(spark, [1, 2]), batch(spark, [3])])
+    assert (made["from_block"], made["to_block"], made["blocks"], made["batches"], made["logs"]) == (1, 3, 3, 2, 4) and made["logs_per_second"] > 0
+    blocks = spark.createDataFrame([(k, k % 5) for k in range(20)], "block_number long, n_logs long")
+    report = reports.density_report(blocks, 10, densest=2)
+    assert (report["sampled"], report["max_logs"], report["densest"]) == (2, 0, [{"block_number": 4, "n_logs": 4}, {"block_number": 9, "n_logs": 4}])
+    reports.save(spark, f"{tmp_path}/r.json", report)
+    assert read_json(spark, f"{tmp_path}/r.json") == report
+    assert reports.rate(5, 0) == 0.0
