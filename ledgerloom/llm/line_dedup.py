@@ -18,7 +18,7 @@ SHINGLE, THRESHOLD = 8, 0.8
 #: 10 bands of 4 minima: a pair at similarity 0.8 shares a band with probability 0.995.
 BANDS, ROWS = 10, 4
 #: Lines and characters that are compared in one task; larger groups are cut into blocks.
-GROUP_LINES, GROUP_CHARS = 512, 1 << 20
+GROUP_LINES, GROUP_CHARS = 128, 1 << 20
 #: (band key, line) pairs that a task holds before it sends them on, and rows that it sends at once.
 HELD, SENT = 500_000, 65_536
 NONE = np.uint64(2**64 - 1)
