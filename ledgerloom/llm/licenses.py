@@ -1,4 +1,4 @@
-"""License scans: exact phrases by word, and fuzzy short notices by pigeonhole seeds and bounded edit distance."""
+"""License scans: exact phrases by word, and fuzzy short notices by pigeonhole seeds and the regex library's bounded errors."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ from collections.abc import Iterable, Iterator
 from functools import cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, byte_column
+from .common import WORDS, byte_column, in_arrow
 
 #: Base phrases and their labels: fixed values.
 PHRASES = {
@@ -35,14 +36,14 @@ CHARS_PER_EDIT = 10
 
 
 @cache
-def _notices(notices: tuple[tuple[str, str], ...]) -> list[tuple[str, int, list[tuple[bytes, int]], dict[str, int]]]:
-    """(text, edits, [(seed, its place)], bits of each character's places): of edits + 1 disjoint seeds one stands unedited."""
+def _notices(notices: tuple[tuple[str, str], ...]) -> list[tuple[str, int, list[tuple[bytes, int]], regex.Pattern]]:
+    """(text, edits, [(seed, its place)], pattern): of edits + 1 disjoint seeds one stands unedited; the pattern counts the fewest edits."""
     out = []
     for text in filter(None, dict(notices)):
         edits = len(text) // CHARS_PER_EDIT
         cuts = [len(text) * k // (edits + 1) for k in range(edits + 2)]
         seeds = [(text[s:e].encode(), s) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
-        out.append((text, edits, seeds, {c: sum(1 << i for i, x in enumerate(text) if x == c) for c in text}))
+        out.append((text, edits, seeds, regex.compile(f"(?b)(?:{regex.escape(text, literal_spaces=True)}){{e<={edits}}}")))
     return out
 
 
@@ -67,7 +68,7 @@ def scan(text: bytes | None, phrases: dict[str, str], notices: dict[str, str]) -
     line = b" " + b" ".join(words) + b" "
     base = [(word, label) for phrase, label in phrases.items() for word in word_numbers(line, places(line, b" %s " % phrase.encode()))]
     found = []
-    for notice, edits, seeds, bits in _notices(tuple(notices.items())):
+    for notice, edits, seeds, pattern in _notices(tuple(notices.items())):
         windows: list[list[int]] = []
         for at, place in sorted((at, place) for seed, place in seeds for at in places(line, seed)):
             low, high = max(0, at - place - 4 * edits), at - place + len(notice) + 4 * edits  # an edit's character has 4 bytes at most
@@ -81,37 +82,29 @@ def scan(text: bytes | None, phrases: dict[str, str], notices: dict[str, str]) -
             low, high = low + 1, line.find(b" ", high)
             part = line[low : high if high >= 0 else len(line) - 1].decode("utf-8", "replace")
             own = part.split(" ")
-            found += [(notice, word + at, n, e, " ".join(own[at : at + n])) for at, n, e in spans(part, len(notice), edits, bits)]
+            found += [(notice, word + at, n, e, " ".join(own[at : at + n])) for at, n, e in spans(part, len(notice), edits, pattern)]
     return len(words), sorted(base), sorted(set(found), key=lambda f: (f[1], f[0]))
 
 
-def spans(part: str, length: int, edits: int, bits: dict[str, int]) -> list[tuple[int, int, int]]:
+def spans(part: str, length: int, edits: int, pattern: regex.Pattern) -> list[tuple[int, int, int]]:
     """(first word, words, edits) of the spans of whole words within ``edits`` of a notice; of those that overlap the
     nearest, then the one of most like length, then the first.
 
-    From each word on, the distance to every longer text in one pass, a bit for each place of the notice (Myers).
+    Each span of whole words that is long enough and not too long is held whole against the pattern, so
+    that a match which would end inside a word hides no other.
     """
-    every, top, near = (1 << length) - 1, 1 << (length - 1), []
-    start, word = 0, -1
-    while len(part) - start >= length - edits:
-        word += 1
-        plus, minus, score, n = every, 0, length, 1
-        for size, c in enumerate(part[start : start + length + edits + 1]):
-            if c == " ":
-                if score <= edits:
-                    near.append((score, abs(size - length), word, n))
-                n += 1
-            eq = bits.get(c, 0)
-            down, across = eq | minus, (((eq & plus) + plus) ^ plus) | eq
-            up, fall = minus | ~(across | plus), plus & across
-            score += (up & top > 0) - (fall & top > 0)
-            up, fall = up << 1 | 1, fall << 1
-            plus, minus = (fall | ~(down | up)) & every, up & down & every
-        if score <= edits and len(part) - start <= length + edits:
-            near.append((score, abs(len(part) - start - length), word, n))
-        start = part.find(" ", start) + 1
-        if not start:
-            break
+    start = [0, *(i + 1 for i, c in enumerate(part) if c == " ")]
+    stop = [*(i - 1 for i in start[1:]), len(part)]
+    near, last = [], 0
+    for i, s in enumerate(start):
+        last = max(last, i)
+        while last < len(stop) and stop[last] - s < length - edits:
+            last += 1
+        for j in range(last, len(stop)):
+            if stop[j] - s > length + edits:
+                break
+            if m := pattern.fullmatch(part, s, stop[j]):
+                near.append((sum(m.fuzzy_counts), abs(stop[j] - s - length), i, j - i + 1))
     out, taken = [], set()
     for e, _, at, n in sorted(near):
         if taken.isdisjoint(range(at, at + n)):
@@ -128,8 +121,9 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices
 
     A-Z is lower-cased; words are runs of digits, a-z and non-ASCII characters.  ``base`` has each place
     where a phrase's words stand in a row; ``notices`` each span that is a notice with at most one edit
-    for CHARS_PER_EDIT of its characters, whole words, with the edits and the text met (of spans that overlap, the nearest).  A null text is
-    an empty one: no words, nothing found.  Repeated rows are scanned each; other columns aren't read.
+    for CHARS_PER_EDIT of its characters, whole words, with the edits and the text met (of spans that
+    overlap, the nearest).  A null text is an empty one: no words, nothing found; a very long one is
+    scanned whole.  Repeated rows are scanned each; other columns aren't read.
     """
     phrases, notices = PHRASES if phrases is None else phrases, NOTICES if notices is None else notices
     kind = pa.struct([("word", pa.int64()), ("label", pa.string())])
@@ -142,7 +136,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices
             near = [[dict(zip(("notice", "label", "word", "words", "edits", "text"), (n, notices[n], w, k, e, t), strict=True)) for n, w, k, e, t in r[2]] for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array(base, pa.list_(kind)), pa.array(near, pa.list_(fuzzy))], ["doc_id", "n_words", "base", "notices"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {SCHEMA}")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), run, f"doc_id long, {SCHEMA}")
 
 
 def license_report(docs: DataFrame, **options) -> DataFrame:
