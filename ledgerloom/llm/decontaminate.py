@@ -49,7 +49,11 @@ class TestSide:
         sizes = np.minimum(self.left[at], window)
         rows = np.where(np.arange(window) < sizes[:, None], suffix_rows(self.ids, at, window), 0)
         _, first, which = np.unique(rows, axis=0, return_index=True, return_inverse=True)
-        self.starts, self.sizes, self.begin = at[first], sizes[first], begin[item[at[first]]]
+        self.starts, self.sizes = at[first], sizes[first]
+        order = np.argsort(which.ravel(), kind="stable")
+        #: Every place of each window, and the start of the item that holds a place.
+        self.places = np.split(at[order], np.cumsum(np.bincount(which.ravel(), minlength=len(first)))[:-1]) if len(first) else []
+        self.begin = begin[item] if items else begin
         owners = np.unique(np.stack([which.ravel(), item[at]], axis=1), axis=0)
         self.owners = np.split(owners[:, 1], np.flatnonzero(np.diff(owners[:, 0])) + 1)
         self.shortest = int(self.sizes.min()) if len(self.starts) else 0
@@ -124,20 +128,22 @@ def _hits(texts: list[bytes | None], test: TestSide) -> list[tuple[int, list[int
         d = int(doc[group[0]])
         spans: list[int] = []
         starts, stops = place[group] - begin[d], place[group] - begin[d] + test.sizes[which[group]]
-        best, at, run = 0, [], None
+        best, at, last, before, now = 0, [], -2, set(), set()
         for s, e, w in zip(starts.tolist(), stops.tolist(), which[group].tolist(), strict=True):
             if spans and s <= spans[-1]:
                 spans[-1] = max(spans[-1], e)
             else:
                 spans += [s, e]
-            t = int(test.starts[w])
-            if run != (s - 1, t - 1):  # else it lies in the match met one word before
-                n = min(int(test.left[t]), sizes[d] - s)
-                differ = np.flatnonzero(test.ids[t : t + n] != ids[begin[d] + s : begin[d] + s + n])
-                n = int(differ[0]) if len(differ) else n
-                if n > best:
-                    best, at = n, [s, t - int(test.begin[w])]
-            run = (s, t)
+            if s != last:
+                before, now, last = (now if s == last + 1 else set()), set(), s
+            for t in test.places[w].tolist():
+                now.add(t)
+                if t - 1 not in before:  # else it lies in the match met one word before
+                    n = min(int(test.left[t]), sizes[d] - s)
+                    differ = np.flatnonzero(test.ids[t : t + n] != ids[begin[d] + s : begin[d] + s + n])
+                    n = int(differ[0]) if len(differ) else n
+                    if n > best:
+                        best, at = n, [s, t - int(test.begin[t])]
         names = {test.names[i] for w in set(which[group].tolist()) for i in test.owners[w].tolist()}
         out[d] = (sizes[d], spans, sorted(names), best, at)
     return out
@@ -202,8 +208,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     Its fields: n_words; spans, a flat list of [start, end) word spans inside an occurrence of a
     ``window``-word window of an item (the whole item if it is shorter); n_hit; items, the sorted ids of
-    items with an occurring window; longest, the words of the longest verbatim match that opens with a
-    window, and longest_at, its place in the document and in the item.  A-Z is lower-cased and words are
+    items with an occurring window; longest, the words of the longest verbatim match with any item that is
+    a window or more, and longest_at, its place in the document and in the item (of several, the first).  A-Z is lower-cased and words are
     runs of digits, a-z and non-ASCII characters.  Null or empty texts have no words; items with no
     words, a null id or a null text match nothing; repeated rows are judged alike; an empty benchmark
     hits nothing.
