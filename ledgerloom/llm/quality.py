@@ -150,7 +150,10 @@ def training_rows(labels: DataFrame, column: str, sample: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int = SAMPLE) -> SupportVectors | None:
-    """The classifier, fitted in one task on the bounded sample; None where no labelled text is at hand."""
+    """The classifier, fitted in one task on the bounded sample; None where no labelled text is at hand.
+
+    ``sample`` bounds the ids and the rows, so an id that stands on many rows brings no more of them.
+    """
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scratch, rows, labels = np.zeros(DIMENSIONS, np.int64), [], []
@@ -164,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int
 
     chosen = F.broadcast(training_rows(labels, column, sample).withColumnRenamed("doc_id", "_id"))  # at most ``sample`` ids
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text")).join(chosen, F.col("_doc") == F.col("_id"))
-    one = texts.select("_doc", "label", "text").repartition(1).sortWithinPartitions(F.xxhash64("_doc"), "text")
+    one = texts.select("_doc", "label", "text").orderBy(F.xxhash64("_doc"), "_doc", "text").limit(sample)
     rows = one.mapInArrow(train, "ratio binary, scaled binary, slope double, offset double").collect()
     if not rows:
         return None
