@@ -40,6 +40,48 @@ def test_line_stage_drops_documents_that_lost_all_lines(spark):
     assert sorted(r[0] for r in corpus_pipeline.line_stage(spark, docs, SF).select("doc_id").collect()) == [1, 3, 4]
 
 
+def written(spark, folder, documents, labels, benchmark):
+    for name, rows, schema in (
+        ("documents", documents, "doc_id long, text string, lang string, source string, n_chars int, rest string, component long"),
+        ("labels", labels, "doc_id long, quality int, toxic int"),
+        ("benchmark", benchmark, "item_id long, text string"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_run_on_awkward_tables(spark, tmp_path):
+    """The whole chain, on rows whose fate each stage's rules give."""
+    words = lambda k, n: " ".join(f"w{k}x{i * i % 97}" for i in range(n))
+    item = " ".join(f"bench{i}" for i in range(14))
+    texts = [
+        (1, words(1, 40)), (2, words(1, 40) + " "), (3, words(3, 60) + "\n" + words(4, 50)), (4, words(5, 30) + "\n" + words(4, 50)), (5, "so " + item + " ends"),
+        (6, None), (7, ""), (8, None), (None, words(8, 40)), (9, words(9, 60_000)), (10, words(10, 40)), (10, words(10, 40)), (11, words(11, 8) + " <|endoftext|> " + words(12, 8)),
+    ]
+    rows = [(i, t, "en", "s", len(t or ""), "clash", 5) for i, t in texts]
+    folder = written(spark, tmp_path / "all", rows, [], [(1, item), (2, None), (None, "null")])
+    got = corpus_pipeline.run(spark, folder).collect()
+    # no labels: none rejected; 2 loses its only line; 4 loses a line; of the texts without words one stays; 5 is contaminated
+    kept = Counter(r["doc_id"] for r in got if r["piece"] == 0)
+    assert kept == Counter([1, 3, 4, 6, None, 9, 10, 11])
+    assert all(0 <= r["offset"] and r["offset"] + r["length"] <= 2048 for r in got)
+    assert sum(r["length"] for r in got if r["doc_id"] == 9) > 60_000
+    lost = sum(r["length"] for r in got if r["doc_id"] == 4)
+    assert lost < sum(r["length"] for r in got if r["doc_id"] == 3)
+    none = written(spark, tmp_path / "none", [], [], [])
+    assert corpus_pipeline.run(spark, none).count() == 0
+
+
+def test_scratch_tables_of_a_run_are_deleted(spark, tmp_path):
+    from ledgerloom.llm.common import scope, stored
+
+    with scope(spark):
+        inside, kept = stored(spark.range(5)), stored(spark.range(7), scoped=False)
+    assert kept.count() == 7
+    p = spark._jvm.org.apache.hadoop.fs.Path(inside._ledgerloom_path)
+    assert not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def test_registered():
     names = registered.queries()
     assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names} - {"pipeline"}
