@@ -1,4 +1,12 @@
-"""A training corpus from raw documents: quality, line dedup, near-dedup, decontamination, packing."""
+"""A training corpus from raw documents: quality, line dedup, near-dedup, decontamination, packing.
+
+Every stage takes any table with ``doc_id`` and ``text``: other columns pass through it, whatever their names.
+Null and empty texts are judged by the classifier like any other (the score of no indicators), have no
+lines to lose, share fingerprint zero (so one of them stays), hold no benchmark passage and are packed as
+their end id alone.  Null doc_ids are kept, but give way to numbered ones as keepers.  Repeated rows and
+ties are settled by (doc_id, position): one row stays.  Very long texts are read whole.  An empty table
+gives an empty table, empty labels reject nothing, an empty benchmark hits nothing.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, line_dedup, packing, quality, simhash
-from ledgerloom.llm.common import drop_stored, stored, table
+from ledgerloom.llm.common import drop_stored, scope, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each stage's rows are written and reread by the next."""
+    """All stages over the documents table; each stage's rows are written and reread by the next, its scratch tables deleted."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs, before = stored(stage(spark, docs, sf_dir)), docs
-        if hasattr(before, "_ledgerloom_path"):
-            drop_stored(before)
+        with scope(spark):
+            after = stored(stage(spark, docs, sf_dir), scoped=False)
+        if hasattr(docs, "_ledgerloom_path"):
+            drop_stored(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
