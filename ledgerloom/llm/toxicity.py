@@ -293,8 +293,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, column: str = "toxic", t
     taught = known.join(chosen.select(F.col("_id").alias("_held")), F.col("_id") == F.col("_held"), "left_anti")
     taught = stored(taught)
     learnt = likely(texts.where(fold() != 0), "doc_id", taught, "_id").join(taught.hint("merge"), F.col("doc_id") == F.col("_id")).select("text", "label")
+    learnt = stored(learnt)
+    release(docs.sparkSession)  # the texts dealt out, before their words are
     words = stored(word_counts(learnt))
-    release(docs.sparkSession)  # the texts and pairs dealt out, most of what this operator writes
+    drop_stored(learnt)
+    release(docs.sparkSession)
     counts = stored(gram_counts(words))
     model = stored(ratios(counts))
     drop_stored(taught, words, counts)
