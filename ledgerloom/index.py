@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 from .operators import postings
 
 STREAMS = {"logs": postings.log_streams, "txs": postings.tx_streams, "traces": postings.trace_streams}
+IDS = {"logs": "log_id", "txs": "tx_id", "traces": "trace_id"}
 SCHEMA = "kind string, value string, bucket long, bits binary, first_id long, last_id long, count long"
 
 
 class PostingIndex:
     """Postings beside the rows of a history.
 
-    A batch leaves a fragment of postings, written before its head is published.  A bucket of ids is
-    sealed once the published ids have gone beyond it: its fragments are then joined to one page each.
-    Pages lie in folders named by the buckets they hold and count once they are complete, so readers see
-    a bucket either by its page or by its fragments, whatever a crash has left.
+    A batch leaves its postings, written before its head is published: those of buckets that lie inside
+    the batch go to a folder of whole buckets, where they stay for good, those of the buckets at its ends
+    to a fragment.  A bucket of ids is sealed once the published ids have gone beyond it: its fragments
+    are then joined to one page each.  Pages lie in folders named by the buckets they hold and count once
+    they are complete, so readers see a bucket either by its page or by its fragments, whatever a crash
+    has left.
     """
 
     def __init__(self, spark: SparkSession, root: str, bucket: int = postings.BUCKET):
@@ -39,9 +42,19 @@ class PostingIndex:
         self.fs.delete(self._path(folder), True)
 
     def add(self, family: str, rows: DataFrame, batch: str) -> None:
-        """The fragment of one batch; a retry overwrites it."""
-        made = postings.build(STREAMS[family](rows), self.bucket)
-        made.select(*[F.col(c.split(" ")[0]).cast(c.split(" ")[1]) for c in SCHEMA.split(", ")]).write.mode("overwrite").parquet(f"{self.root}/{family}_index/{batch}")
+        """The postings of one batch, whole buckets and fragments; a retry overwrites them."""
+        at = F.col(IDS[family])
+        ends = rows.agg(F.min(at), F.max(at)).first()
+        first, stop = (-(-ends[0] // self.bucket), (ends[1] + 1) // self.bucket) if ends[0] is not None else (0, 0)
+        inside = (at >= first * self.bucket) & (at < stop * self.bucket)
+        for folder, own in (("whole", rows.where(inside)), ("index", rows.where(~inside))):
+            made = postings.build(STREAMS[family](postings.dealt(own, IDS[family], self.bucket)), self.bucket)
+            self._write(made, f"{self.root}/{family}_{folder}/{batch}")
+
+    def _write(self, made: DataFrame, folder: str) -> None:
+        """Postings with their bits trimmed; each file is sorted by kind, value and bucket."""
+        made = made.withColumn("bits", postings.trimmed(self.bucket)).select(*[F.col(c.split(" ")[0]).cast(c.split(" ")[1]) for c in SCHEMA.split(", ")])
+        made.sortWithinPartitions("kind", "value", "bucket").write.mode("overwrite").option("compression", "zstd").parquet(folder)
 
     def sealed(self, family: str) -> int:
         """Buckets below this one have pages; pages follow each other without a hole."""
@@ -52,8 +65,8 @@ class PostingIndex:
                 end = stop
         return end
 
-    def _fragments(self, family: str, head: int) -> DataFrame:
-        folder = f"{self.root}/{family}_index"
+    def _fragments(self, family: str, head: int, kind: str = "index") -> DataFrame:
+        folder = f"{self.root}/{family}_{kind}"
         kept = [f"{folder}/{n}" for n in self._names(folder) if int(n.split("=")[1]) <= head]
         return self.spark.read.schema(SCHEMA).parquet(*kept) if kept else self.spark.createDataFrame([], SCHEMA)
 
@@ -63,21 +76,21 @@ class PostingIndex:
         if stop <= start:
             return []
         own = self._fragments(family, head).where((F.col("bucket") >= start) & (F.col("bucket") < stop))
-        made = postings.compact(own).select(*[c.split(" ")[0] for c in SCHEMA.split(", ")])
-        made.repartitionByRange("kind", "value", "bucket").sortWithinPartitions("kind", "value", "bucket").write.mode("overwrite").parquet(f"{self.root}/{family}_pages/{start:012d}-{stop:012d}")
+        self._write(postings.compact(own, self.bucket), f"{self.root}/{family}_pages/{start:012d}-{stop:012d}")
         return [b * self.bucket for b in range(start, stop)]
 
     def open_buckets(self, family: str, head: int) -> DataFrame:
         """(bucket, fragments, entries) of the buckets without a page yet."""
-        rows = self._fragments(family, head).where(F.col("bucket") >= self.sealed(family))
+        rows = self._fragments(family, head).union(self._fragments(family, head, "whole")).where(F.col("bucket") >= self.sealed(family))
         return rows.groupBy("bucket").agg(F.count("*").alias("fragments"), F.sum("count").alias("entries"))
 
     def read(self, family: str, head: int) -> DataFrame:
-        """(kind, value, bucket, bits, first_id, last_id, count): pages of sealed buckets, fragments of open ones joined."""
+        """(kind, value, bucket, bits, first_id, last_id, count): whole buckets, pages of sealed ones, fragments of open ones joined."""
         end, folder = self.sealed(family), f"{self.root}/{family}_pages"
         pages = [f"{folder}/{n}" for n in self._names(folder) if int(n.split("-")[1]) <= end and self._complete(f"{folder}/{n}")]
-        parts = [postings.compact(self._fragments(family, head).where(F.col("bucket") >= end)).select(*[c.split(" ")[0] for c in SCHEMA.split(", ")])]
-        parts += [self.spark.read.schema(SCHEMA).parquet(*pages)] if pages else []
+        parts = [postings.compact(self._fragments(family, head).where(F.col("bucket") >= end), self.bucket).select(*[c.split(" ")[0] for c in SCHEMA.split(", ")])]
+        stored = [self._fragments(family, head, "whole")] + ([self.spark.read.schema(SCHEMA).parquet(*pages)] if pages else [])
+        parts += [x.withColumn("bits", postings.whole(self.bucket)) for x in stored]
         return reduce(DataFrame.unionByName, parts)
 
     def recover(self, head: int, next_ids: dict[str, int], id_tables: dict[str, DataFrame]) -> dict:
@@ -98,7 +111,7 @@ class PostingIndex:
                     self._delete(f"{folder}/{name}")
                     out["removed_pages"] += 1
             for name in self._names(f"{self.root}/{family}"):
-                if not self._complete(f"{self.root}/{family}_index/{name}"):
+                if not all(self._complete(f"{self.root}/{family}_{kind}/{name}") for kind in ("index", "whole")):
                     self.add(family, id_tables[family].where(F.col("batch").cast("long") == int(name.split("=")[1])), name)
                     out["rebuilt_fragments"] += 1
             out["sealed"] += len(self.seal(family, head, next_ids.get(family, 0)))

@@ -25,9 +25,10 @@ from .errors import (
 )
 from .functions import has_value, is_call, trace_selector
 from .index import PostingIndex
-from .operators.ids import assign_ids, block_windows
+from .operators.ids import block_windows, placed_ids
 from .operators.postings import BUCKET
 from .operators.stats import with_previous
+from .scratch import release
 
 ZEROS = "0" * 64
 ORDERS = {"txs": ("tx_idx", "tx_id"), "logs": ("log_idx", "log_id"), "traces": (("tx_idx", "trace_idx"), "trace_id")}
@@ -229,25 +230,32 @@ class Ingestor:
         self._validate_items(batch)
         ids, out = dict(state.next_ids), {"head": high}
         folder = f"batch={low:020d}"
-        batch["blocks"].write.mode("overwrite").parquet(f"{self.root}/blocks/{folder}")
+        release(self.spark)
+        self._write(batch["blocks"], f"blocks/{folder}")
         for family, (order, id_col) in ORDERS.items():
             rows = batch[family]
             if family == "traces":
                 rows = rows.withColumns({"is_top_level": F.col("depth") == 0, "has_value": has_value(F.col("value_hex")), "is_call": is_call(F.col("typ"), F.col("flags"))})
                 if "input" in rows.columns:
                     rows = rows.withColumn("selector", trace_selector(F.col("typ"), F.col("flags"), F.length("input"), F.lower(F.hex(F.substring("input", 1, 4)))))
-            windows = block_windows(rows, batch["blocks"], ids[family])
-            windows.write.mode("overwrite").parquet(f"{self.root}/{family}_windows/{folder}")
+            self._write(block_windows(rows, batch["blocks"], ids[family]), f"{family}_windows/{folder}")
+            windows = self.spark.read.parquet(f"{self.root}/{family}_windows/{folder}")
             # rows sorted by id, so that a range of blocks touches few row groups
-            assign_ids(rows, order, id_col, ids[family]).sort(id_col).write.mode("overwrite").parquet(f"{self.root}/{family}/{folder}")
+            self._write(placed_ids(rows, windows, order, id_col, high - low + 1), f"{family}/{folder}")
+            release(self.spark)  # the rows dealt out, before their postings are
             self.index.add(family, self.spark.read.parquet(f"{self.root}/{family}/{folder}"), folder)
-            n = self.spark.read.parquet(f"{self.root}/{family}_windows/{folder}").agg(F.sum("count")).first()[0]
+            n = windows.agg(F.sum("count")).first()[0]
             out[f"written_{family}"], ids[family] = n, ids[family] + n
+            release(self.spark)
         self.authority.publish(state, high, digest, ids)
         for family in ORDERS:
             self.index.seal(family, high, ids[family])
+            release(self.spark)
         return out
 
+    def _write(self, rows: DataFrame, folder: str) -> None:
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{folder}")
+
     def recover(self) -> dict:
         """What the last crash left, made good: the rows and postings of unpublished batches go, due pages are sealed."""
         now = self.authority.store.load() or Publication()

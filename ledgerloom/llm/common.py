@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import discard as drop_stored  # noqa: F401
 from ..scratch import materialized as stored
-from ..scratch import scope  # noqa: F401
+from ..scratch import release, scope  # noqa: F401
 
 #: Bytes of an Arrow batch handed to a Python worker.
 BATCH_BYTES = 4 << 20
@@ -42,12 +40,6 @@ def in_arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files that no plan needs any more: Spark deletes them once the driver's garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def numbered(df: DataFrame) -> DataFrame:
     """:func:`wrapped`, written once to the shared folder, so that every later scan sees the same ids."""
     return stored(wrapped(df))

@@ -9,6 +9,8 @@ from ..functions import long
 
 #: Ids of one bin of the range join.
 BIN = 10_000
+#: Windows (16 bytes each) that are broadcast at most.
+BROADCAST_BLOCKS = 500_000
 
 
 def block_windows(rows: DataFrame, blocks: DataFrame | None = None, next_id: int = 0) -> DataFrame:
@@ -30,6 +32,21 @@ def assign_ids(rows: DataFrame, order: str | tuple[str, ...], name: str, next_id
     return rows.join(firsts, "block_num").withColumn(name, (F.col("first_id") + place).cast("long")).drop("first_id")
 
 
+def placed_ids(rows: DataFrame, windows: DataFrame, order: str | tuple[str, ...], name: str, blocks: int) -> DataFrame:
+    """:func:`assign_ids` by the stored windows of ``blocks`` blocks, sorted by id over all tasks.
+
+    Rows are dealt once, by ranges of blocks, in which their places are counted; the windows are broadcast
+    up to BROADCAST_BLOCKS, beyond which ids are joined and sorted.
+    """
+    order = [order] if isinstance(order, str) else list(order)
+    firsts = windows.select("block_num", "first_id")
+    ranged = blocks <= BROADCAST_BLOCKS
+    rows = rows.repartitionByRange("block_num") if ranged else rows
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("block_num").orderBy(*order)) - 1)
+    out = rows.join(F.broadcast(firsts) if ranged else firsts, "block_num").withColumn(name, (F.col("first_id") + F.col("_place")).cast("long")).drop("first_id", "_place")
+    return out.sortWithinPartitions(name) if ranged else out.sort(name)
+
+
 def resolve_ids(probes: DataFrame, windows: DataFrame, id_col: str = "row_id", span: int = BIN) -> DataFrame:
     """``probes`` with block_num and ordinal: a range join made an equi-join on bins of ids; empty blocks own none."""
     w = windows.where("count > 0").select(F.col("block_num"), "first_id", (F.col("first_id") + F.col("count")).alias("end_id"))

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 BUCKET = 32_768
 #: Bytes of a bitmap that are looked at together when its ids are listed.
 CHUNK = 64
+#: Name of the bucket in rows that :func:`dealt` has brought together.
+DEALT = "_bucket"
 
 
 def fan_out(rows: DataFrame, id_col: str, kinds: dict[str, Column]) -> DataFrame:
     """(kind, value, row_id): an entry for each present value; absent ones give none."""
     entries = F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("string").alias("value")) for k, v in kinds.items()])
-    return rows.select(F.col(id_col).alias("row_id"), F.inline(entries)).where("value is not null").select("kind", "value", "row_id")
+    own = [F.col(c) for c in rows.columns if c == DEALT]
+    return rows.select(F.col(id_col).alias("row_id"), *own, F.inline(entries)).where("value is not null").select("kind", "value", "row_id", *own)
 
 
 def log_streams(logs: DataFrame) -> DataFrame:
@@ -32,16 +35,34 @@ def trace_streams(traces: DataFrame) -> DataFrame:
     return fan_out(traces, "trace_id", kinds)
 
 
+def dealt(rows: DataFrame, id_col: str, bucket: int = BUCKET) -> DataFrame:
+    """``rows`` with the ids of a bucket, which are bounded, in one task: :func:`build` then shuffles no bitmaps."""
+    return rows.withColumn(DEALT, F.floor(F.col(id_col) / bucket)).repartition(DEALT)
+
+
 def build(entries: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(kind, value, bucket, bits, count, first_id, last_id); sums are partial before the shuffle."""
-    rows = entries.withColumn("bucket", F.floor(F.col("row_id") / bucket)).withColumn("bit", F.col("row_id") % bucket)
+    at = F.col(DEALT) if DEALT in entries.columns else F.floor(F.col("row_id") / bucket)
+    rows = entries.select("kind", "value", "row_id", at.alias("bucket"), (F.col("row_id") % bucket).alias("bit"))
     made = rows.groupBy("kind", "value", "bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"), F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id"))
     return made.withColumn("count", F.expr("bitmap_count(bits)"))
 
 
-def compact(fragments: DataFrame) -> DataFrame:
-    """One bitmap for each (kind, value, bucket): the OR of its fragments."""
-    made = fragments.groupBy("kind", "value", "bucket").agg(F.expr("bitmap_or_agg(bits)").alias("bits"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
+def trimmed(bucket: int = BUCKET) -> Column:
+    """``bits`` as stored: the bytes from the first id to the last, so that a lone id takes one byte of the 4 KB."""
+    first, last = (F.floor((F.col(c) % bucket) / 8).cast("int") for c in ("first_id", "last_id"))
+    return F.substring("bits", first + 1, last - first + 1).alias("bits")
+
+
+def whole(bucket: int = BUCKET) -> Column:
+    """The bitmap of :func:`trimmed` bits; one that was stored whole stays as it is."""
+    full = F.lpad("bits", F.floor((F.col("last_id") % bucket) / 8).cast("int") + 1, F.unhex(F.lit("00")))
+    return F.when(F.length("bits") == BUCKET // 8, F.col("bits")).otherwise(F.rpad(full, F.lit(BUCKET // 8), F.unhex(F.lit("00"))))
+
+
+def compact(fragments: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """One bitmap for each (kind, value, bucket): the OR of its stored fragments, which are dealt out by bucket as they are stored."""
+    made = fragments.repartition("bucket").groupBy("kind", "value", "bucket").agg(F.bitmap_or_agg(whole(bucket)).alias("bits"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
     return made.withColumn("count", F.expr("bitmap_count(bits)"))
 
 

@@ -14,7 +14,7 @@ from ..ingest import HadoopPublicationStore, Ingestor, LeaseAuthority, Publicati
 from ..operators import postings, stats, workload
 from ..operators.clause import Clause, LogFilter, TraceFilter, TxFilter, page, prefix_page
 from ..operators.ids import assign_ids, block_windows, bucket_starts, contiguous_runs, id_window, resolve_ids
-from ..scratch import materialized, scratch_path
+from ..scratch import discard, materialized, release, scratch_path
 from ..service import HistoryService, Request, blocks_with_txs, related, transfers, with_block_refs
 from ..sources import artifacts, rlp, testdata
 from ..sources.events import flattened_logs, rebased
@@ -133,10 +133,16 @@ def _ingested(s: SparkSession, d: str, bucket: int = postings.BUCKET) -> tuple[I
     """The chain ingested in two batches, and what each of them wrote."""
     root = scratch_path(s)
     writer = Ingestor(s, root, LeaseAuthority(HadoopPublicationStore(s, f"{root}/publication"), "me", lambda: 1), bucket)
-    tables = {"blocks": testdata.blocks(s, d), "txs": testdata.txs(s, d), "logs": testdata.logs(s, d), "traces": testdata.traces(s, d)}
-    tables = {k: materialized(v.drop("tx_id", "log_id", "trace_id")) for k, v in tables.items()}
-    half = tables["blocks"].count() // 2
-    return writer, [writer.ingest({k: v.where(part) for k, v in tables.items()}) for part in (F.col("block_num") <= half, F.col("block_num") > half)]
+    tables = {"logs": testdata.log_rows(s, d), "traces": testdata.trace_rows(s, d), "txs": testdata.tx_rows(s, d), "blocks": testdata.blocks(s, d)}
+    half, made = tables["blocks"].count() // 2, []
+    for part in (F.col("block_num") <= half, F.col("block_num") > half):
+        own = {}  # a batch is read several times; only one of them stands on disk
+        for k, v in tables.items():
+            own[k] = materialized(v.where(part))
+            release(s)
+        made.append(writer.ingest(own))
+        discard(*own.values())
+    return writer, made
 
 
 def _outcome(s: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,6 +51,12 @@ def discard(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df._ledgerloom_path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that no plan needs any more: Spark deletes them once the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Tables materialized inside are deleted at the end: read or write the result before it."""

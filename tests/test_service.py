@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from ledgerloom.errors import CasConflict, FinalityViolation, InvalidParams, InvalidParent, InvalidSequence, LeaseLost, LeaseObservationUnavailable, LeaseStillFresh, NotFound, QueryTooBroad, ReadOnlyMode
 from ledgerloom import reports
 from ledgerloom.ingest import ZEROS, Ingestor, LeaseAuthority, MemoryPublicationStore, Publication, PublicationStore
+from ledgerloom.index import SCHEMA
+from ledgerloom.operators import postings
 from ledgerloom.operators.clause import Clause, LogFilter, TraceFilter
 from ledgerloom.service import HistoryService, Request, effective_limit
 from ledgerloom.sources.artifacts import read_json
@@ -225,3 +227,43 @@ def test_reports(spark, tmp_path):
     reports.save(spark, f"{tmp_path}/r.json", report)
     assert read_json(spark, f"{tmp_path}/r.json") == report
     assert reports.rate(5, 0) == 0.0
+
+
+def test_stored_bitmaps_are_trimmed_and_kept_once(spark, tmp_path):
+    """Of a lone id one byte of its 4 KB is stored, a bucket inside a batch once; readers get whole bitmaps."""
+    writer = Ingestor(spark, str(tmp_path), LeaseAuthority(MemoryPublicationStore(), "me", lambda: 1), bucket=8)
+    writer.ingest(batch(spark, [1, 2], logs=10))  # ids 0 to 19: buckets 0 and 1 lie inside
+    writer.ingest(batch(spark, [3, 4], logs=14))  # 20 to 33: bucket 2 is joined, 3 lies inside, 4 is open
+    files = {k: spark.read.schema(SCHEMA).parquet(*[f"{tmp_path}/logs_{k}/{n}" for n in writer.index._names(f"{tmp_path}/logs_{k}")]) for k in ("whole", "index", "pages")}
+    assert {k: sorted({r[0] for r in v.select("bucket").collect()}) for k, v in files.items()} == {"whole": [0, 1, 3], "index": [2, 4], "pages": [2]}
+    assert {r[0] for v in files.values() for r in v.select(F.length("bits")).collect()} == {1}
+    assert {r[0] for r in writer.postings("logs").select(F.length("bits")).collect()} == {4096}
+    assert index_rows(writer) == plain_index(writer.tables()["logs"], 8)
+    found = postings.candidates(writer.postings("logs"), {"addr": ["a3", "a5"]}, 8)
+    assert sorted(r[0] for r in found.collect()) == sorted(r[0] for r in writer.tables()["logs"].where("address in ('a3', 'a5')").select("log_id").collect())
+    writer.index._delete(f"{tmp_path}/logs_whole/{writer.index._names(f'{tmp_path}/logs_whole')[0]}")
+    assert writer.recover()["rebuilt_fragments"] == 1
+    assert index_rows(writer) == plain_index(writer.tables()["logs"], 8)
+
+
+def test_wide_bitmaps_survive_trimming(spark):
+    """Any span of bytes inside a bucket of full size, and joining two of them."""
+    ids = [0, 7, 8, 32_767, 32_768, 40_001, 65_535, 70_000, 70_009, 98_000]
+    entries = spark.createDataFrame([("k", str(i % 2), i) for i in ids], "kind string, value string, row_id long")
+    made = postings.build(entries)
+    stored = made.withColumn("bits", postings.trimmed())
+    whole = stored.withColumn("bits", postings.whole())
+    key = lambda df: sorted((r["value"], r["bucket"], bytes(r["bits"]), r["count"]) for r in df.collect())
+    assert key(whole) == key(made) == key(postings.compact(stored.union(stored)))
+
+
+def test_ids_without_broadcast(spark, monkeypatch):
+    from ledgerloom.operators import ids
+
+    blocks = spark.range(1, 9).select(F.col("id").alias("block_num"))
+    rows = spark.createDataFrame([(n, k) for n in range(1, 9) if n != 4 for k in range(n)], "block_num long, idx long")
+    windows, want = ids.block_windows(rows, blocks, 5), sorted(tuple(r) for r in ids.assign_ids(rows, "idx", "id", 5).select("block_num", "idx", "id").collect())
+    for most in (500_000, 3):
+        monkeypatch.setattr(ids, "BROADCAST_BLOCKS", most)
+        got = [tuple(r) for r in ids.placed_ids(rows, windows, "idx", "id", 8).select("block_num", "idx", "id").collect()]
+        assert got == want  # in order, too
