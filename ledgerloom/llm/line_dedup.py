@@ -19,6 +19,8 @@ SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 10, 4
 #: Lines and characters that are compared in one task; larger groups are cut into blocks.
 GROUP_LINES, GROUP_CHARS = 128, 1 << 20
+#: So many times the lines of a group are held of either side when lines outside a class meet the others.
+WIDE = 8
 #: (band key, line) pairs that a task holds before it sends them on, and rows that it sends at once.
 HELD, SENT = 500_000, 65_536
 NONE = np.uint64(2**64 - 1)
@@ -176,7 +178,7 @@ def _postings(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings sorted by key -> (u, v): each line of a key beside its first, and the links as they came."""
+    """Postings sorted by key -> (u, v): each line of a key beside the first to come, and the links as they came."""
     last, head = None, 0
     for batch in batches:
         key, a, b = (batch.column(i).to_numpy() for i in range(3))
@@ -225,7 +227,7 @@ def _jaccard_links(lids: list[int], sets: list[np.ndarray], threshold: float) ->
 
 
 def _cross_links(lids: list[int], sets: list[np.ndarray], classes: list[int], probes: list[bool], threshold: float) -> list[tuple[int, int]]:
-    """Links from the probes to lines of other classes; a class that a probe has joined is not met again by that probe."""
+    """Links from the probes that join classes as all links would; classes once joined are one, so links are fewer than classes."""
     sizes, label = np.array([len(x) for x in sets]), np.array(classes)
     _, dense = np.unique(np.concatenate(sets), return_inverse=True)
     edge = np.cumsum(sizes) - sizes
@@ -236,15 +238,18 @@ def _cross_links(lids: list[int], sets: list[np.ndarray], classes: list[int], pr
         shared = np.add.reduceat(mark[dense], edge, dtype=np.int64)
         mark[own] = 0
         near = np.flatnonzero((shared >= threshold * (sizes[p] + sizes - shared) - 1e-9) & (label != label[p]))
-        _, first = np.unique(label[near], return_index=True)
-        out += [(lids[p], lids[i]) for i in near[first].tolist()]
+        if len(near):
+            met, first = np.unique(label[near], return_index=True)
+            out += [(lids[p], lids[i]) for i in near[first].tolist()]
+            label[np.isin(label, met)] = label[p]
     return out
 
 
 def _verify(threshold: float, cross: bool = False):
     """Rows (group, pair, lid, class, probe, line) sorted by group -> (group, u, v) of each; a group may cross batches, and is bounded.
 
-    Not ``cross``: u is the smallest line that v is joined to inside the group, itself if to none.
+    Not ``cross``: u is the smallest line that v is joined to inside the group; a line joined to none or the
+    smallest itself has no row.
     ``cross``: a link from the probe u to the line v of another class.
     """
 
@@ -258,8 +263,7 @@ def _verify(threshold: float, cross: bool = False):
                 return [(group[0], u, v) for u, v in _cross_links(lids, sets, classes, probes, threshold)]
             links = np.array(_jaccard_links(lids, sets, threshold) if len(lids) > 1 else [], np.int64).reshape(-1, 2)
             node, root = local_components(links[:, 0], links[:, 1])
-            alone = set(lids) - set(node.tolist())
-            return [(group[0], u, v) for v, u in zip(node.tolist(), root.tolist(), strict=True)] + [(group[0], x, x) for x in alone]
+            return [(group[0], u, v) for v, u in zip(node.tolist(), root.tolist(), strict=True) if u != v]
 
         def sent(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in range(3)], ["group", "u", "v"])
@@ -340,9 +344,9 @@ def xxh64_long(values: np.ndarray, seed: int = 42) -> np.ndarray:
 
 
 def _blocks(lines: DataFrame, key: str) -> DataFrame:
-    """(of, blocks): for each group, the blocks that hold its lines within GROUP_LINES and GROUP_CHARS each, about."""
-    size = F.greatest(F.count("*") / GROUP_LINES, F.sum(F.length("line")) / GROUP_CHARS)
-    return lines.groupBy(F.col(key).alias("of")).agg(F.greatest(F.lit(1), F.ceil(size)).cast("int").alias("blocks"))
+    """(of, blocks, wide): for each group, the blocks that hold its lines within GROUP_LINES (wide: WIDE times that) and GROUP_CHARS each, about."""
+    size = lambda n: F.greatest(F.lit(1), F.ceil(F.greatest(F.count("*") / n, F.sum(F.length("line")) / GROUP_CHARS))).cast("int")
+    return lines.groupBy(F.col(key).alias("of")).agg(size(GROUP_LINES).alias("blocks"), size(WIDE * GROUP_LINES).alias("wide"))
 
 
 def _compared(groups: DataFrame, threshold: float, cross: bool = False) -> DataFrame:
@@ -362,8 +366,9 @@ def verified_links(texts: DataFrame, threshold: float) -> DataFrame:
     lines of a larger one are grouped by band key, which is what makes two lines candidates, and a group
     still larger is taken in three steps, none of which holds more than a block or two: the lines of each
     block are compared; then one line of each class found so; then every line outside the group's largest
-    class, with the lines of other classes in each block.  So no link between classes is lost, and what
-    is copied to several blocks are the lines that the largest class has not taken up.
+    class, with the lines of other classes in each of fewer, wider blocks.  So no link between classes is
+    lost, and only this step copies lines: those outside the largest class once for each WIDE * GROUP_LINES
+    lines of the group, the others once for as many of the former.
     """
     sizes = stored(_blocks(texts, "component"))
     marked = texts.join(sizes, F.col("component") == F.col("of"))
@@ -374,7 +379,7 @@ def verified_links(texts: DataFrame, threshold: float) -> DataFrame:
     rows = stored(_rebanded(marked.where("blocks > 1")))
     sizes = stored(_blocks(rows, "group"))
     block = F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("long")
-    rows = stored(rows.join(sizes, F.col("group") == F.col("of")).select("group", "lid", "line", "blocks", block.alias("block")))
+    rows = stored(rows.join(sizes, F.col("group") == F.col("of")).select("group", "lid", "line", "blocks", "wide", block.alias("block")))
     within = stored(_compared(_plain_groups(rows, F.col("block")), threshold))
     links = links.union(within.select("u", "v"))
     large = rows.where("blocks > 1")
@@ -393,26 +398,27 @@ def verified_links(texts: DataFrame, threshold: float) -> DataFrame:
     rest = stored(classed.join(largest, F.col("group") == F.col("of")).where("class <> largest").drop("of", "largest"))
     if not rest.limit(1).count():
         return links
-    cuts = stored(_blocks(rest, "group").withColumnRenamed("blocks", "cuts"))
+    cuts = stored(_blocks(rest, "group").select("of", F.col("wide").alias("cuts")))
+    at = F.pmod(F.xxhash64("lid"), F.col("wide")).cast("long")
     own = F.pmod(F.xxhash64("lid", F.lit(1)), F.col("cuts")).cast("long")
     place = lambda cut, at: (cut * F.lit(1 << 31) + at).alias("pair")
-    probes = rest.join(cuts, F.col("group") == F.col("of")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("to"))
+    probes = rest.join(cuts, F.col("group") == F.col("of")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide").cast("long") - 1)).alias("to"))
     probes = probes.select("group", place(own, F.col("to")), "lid", "class", F.lit(True).alias("probe"), "line")
     others = classed.join(cuts, F.col("group") == F.col("of")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts").cast("long") - 1)).alias("to"))
-    others = others.select("group", place(F.col("to"), F.col("block")), "lid", "class", F.lit(False).alias("probe"), "line")
+    others = others.select("group", place(F.col("to"), at), "lid", "class", F.lit(False).alias("probe"), "line")
     return links.union(_compared(probes.union(others), threshold, cross=True).select("u", "v"))
 
 
 def _classed(rows: DataFrame, within: DataFrame) -> DataFrame:
     """``rows`` with the class that each line has inside its group."""
     own = within.select(F.col("group").alias("of"), F.col("v").alias("own"), F.col("u").alias("class"))
-    return rows.join(own, (F.col("group") == F.col("of")) & (F.col("lid") == F.col("own"))).select(*rows.columns, "class")
+    return rows.join(own, (F.col("group") == F.col("of")) & (F.col("lid") == F.col("own")), "left").select(*rows.columns, F.coalesce("class", "lid").alias("class"))
 
 
 def line_components(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, component): lines with a near twin, by 64-bit id of the normalised line; ``docs(text)``."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = in_arrow(_postings(docs).repartition(parts, "key").sortWithinPartitions("key", "a"), _candidates, "u long, v long")
+    links = in_arrow(_postings(docs).repartition(parts, "key").sortWithinPartitions("key"), _candidates, "u long, v long")
     marked = stored(connected_components(links))
     texts = stored(_candidate_texts(docs, marked))
     return connected_components(verified_links(texts, threshold))
