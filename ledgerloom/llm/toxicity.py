@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -75,13 +76,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         def sent() -> Iterator[pa.RecordBatch]:
             for label, own in enumerate(pairs):
-                rows = list(own)
+                rows = sorted(own, key=itemgetter(1))  # a word beside itself in the shuffle's files, which are compressed
                 own.clear()
                 for at in range(0, len(rows), 65_536):
-                    before, word = zip(*rows[at : at + 65_536], strict=True)
-                    left = np.array([xxhash.xxh32_intdigest(w) for w in before], np.uint32).view(np.int32)
-                    kinds = np.full(len(left), 1 << label, np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()).cast(pa.string()), pa.array(left), pa.array(kinds)], ["word", "left", "kinds"])
+                    key = [word + xxhash.xxh32_digest(before) for before, word in rows[at : at + 65_536]]
+                    kinds = np.full(len(key), 1 << label, np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(kinds)], ["key", "kinds"])
 
         for batch in batches:
             labels = batch.column(1).to_pylist()
@@ -93,8 +93,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
                         yield from sent()
         yield from sent()
 
-    found = in_arrow(docs, run, "word string, left int, kinds int")
-    once = found.groupBy("word", "left").agg(F.bit_or("kinds").alias("kinds"))
+    found = in_arrow(docs, run, "key binary, kinds int")  # the word and the hash in one value: fewer bytes to deal out
+    once = found.groupBy("key").agg(F.bit_or("kinds").alias("kinds"))
+    once = once.select(F.substring("key", F.lit(1), F.length("key") - 4).cast("string").alias("word"), "kinds")
     bit = lambda n: F.sum(F.shiftright("kinds", n).bitwiseAND(F.lit(1)).cast("long"))
     return once.groupBy("word").agg(bit(1).alias("toxic"), bit(0).alias("plain"))
 

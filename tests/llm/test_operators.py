@@ -540,6 +540,22 @@ def test_kneser_ney_model(spark, many):
     assert sums.sum() == pytest.approx(sum(map(ratio, grams)), rel=1e-3, abs=1e-3) and n.tolist() == [len(text.split())]
 
 
+def test_word_pairs_are_dealt_out_sorted_in_few_bytes(spark, monkeypatch):
+    """A word's rows stand beside each other, with one value for the word and the hash of the word before, and count as before."""
+    sent, through = [], toxicity.in_arrow
+
+    def kept(df, run, schema):
+        sent.append(through(df, run, schema).collect())
+        return through(df, run, schema)
+
+    monkeypatch.setattr(toxicity, "in_arrow", kept)
+    rows = [("b a b a c", 0), ("a b b", 0), ("c b é a", 1), (None, 1)]
+    got = toxicity.word_counts(spark.createDataFrame(rows, "text string, label int").coalesce(1)).collect()
+    assert sorted(tuple(r) for r in got) == [("a", 1, 2), ("b", 1, 3), ("c", 1, 1), ("é", 1, 0)]
+    plain = [bytes(r[0])[:-4] for r in sent[0] if r[1] == 1]
+    assert plain == sorted(plain) and len(plain) == 6
+
+
 def test_evidence_is_the_best_passage():
     sums, n = np.array([1.0, 5.0, -2.0, 4.0, 7.0, -1.0]), np.array([3, 0, 1, 2])
     for passage in (1, 2, 3, 5):
