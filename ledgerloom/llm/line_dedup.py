@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,10 @@ GROUP_LINES, GROUP_CHARS = 128, 1 << 20
 WIDE = 8
 #: (band key, line) pairs that a task holds before it sends them on, and rows that it sends at once.
 HELD, SENT = 500_000, 65_536
+#: Ranges of band keys at least; a task holds the postings of one range at a time.
+RANGES = 4096
+#: Characters whose shingles are hashed at once, so that all arrays stay in the cache.
+HASHED = 1 << 15
 NONE = np.uint64(2**64 - 1)
 
 
@@ -45,19 +50,30 @@ def line_id(line: bytes) -> int:
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    h = h ^ (h >> np.uint64(31))
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def _shingle_hashes(chars: np.ndarray) -> np.ndarray:
     """Of the SHINGLE characters from each place on, by doubling; behind the end counts as blank."""
-    h = np.concatenate([chars.astype(np.uint64) + np.uint64(1), np.zeros(SHINGLE, np.uint64)])
+    h = np.zeros(len(chars) + SHINGLE, np.uint64)
+    np.add(chars, np.uint64(1), out=h[: len(chars)])
     for k, step in enumerate((1, 2, 4)):
-        h = h[:-step] * np.uint64((0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)[k]) + h[step:]
+        before, h = h, h[:-step] * np.uint64((0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)[k])
+        h += before[step:]
     return _mixed(h[: len(chars)])
 
 
+def _chars(lines: list[bytes]) -> np.ndarray:
+    """Code points of the lines, a newline behind each."""
+    text = b"\n".join([*lines, b""])
+    return np.frombuffer(text, np.uint8) if text.isascii() else np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+
+
 def shingles(line: bytes) -> np.ndarray:
     """Sorted distinct shingle hashes of a normalised line; a shorter line is one shingle, a blank one none."""
     chars = np.frombuffer(line.decode("utf-8", "replace").encode("utf-32-le"), "<u4")
@@ -67,8 +83,7 @@ def shingles(line: bytes) -> np.ndarray:
 
 def _line_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes of all lines, end to end, shingles of each line); those of shorter lines also hash what follows."""
-    text = "\n".join([b"\n".join(lines).decode("utf-8", "replace"), ""])
-    chars = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    chars = _chars(lines)
     end = np.flatnonzero(chars == 10)
     begin = np.concatenate([[0], end[:-1] + 1])
     n = np.maximum(end - begin - SHINGLE + 1, 1)
@@ -93,19 +108,39 @@ def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
     return sets
 
 
+def _minima(lines: list[bytes], out: np.ndarray) -> None:
+    """Into ``out`` (lines, bins): the smallest hash of the shingles in each bin, else NONE."""
+    chars, bins = _chars(lines), np.uint64(out.shape[1])
+    end = np.flatnonzero(chars == 10)
+    begin = np.concatenate([[0], end[:-1] + 1])
+    h = _shingle_hashes(chars)
+    at = h >> np.uint64(40)
+    at *= bins
+    at >>= np.uint64(24)
+    at += np.repeat(np.arange(len(lines), dtype=np.uint64) * bins, end - begin + 1)
+    h &= np.uint64((1 << 40) - 1)
+    beyond = end[:, None] - np.arange(SHINGLE)  # no shingle of the line starts there
+    h[beyond[beyond > begin[:, None]]] = NONE
+    np.minimum.at(out.reshape(-1), at.view(np.int64), h)
+
+
+@cache
+def _bin_order(attempt: int) -> np.ndarray:
+    return np.random.default_rng(attempt).permutation(BANDS * ROWS)
+
+
 def band_keys(lines: list[bytes]) -> np.ndarray:
     """(lines, BANDS) keys from one-permutation MinHash with ROWS * BANDS bins, empty ones densified."""
-    bins = BANDS * ROWS
-    h, n = _line_hashes(lines)
-    line = np.repeat(np.arange(len(lines)), n)
-    sig = np.full(len(lines) * bins, NONE)
-    np.minimum.at(sig, line * bins + (((h >> np.uint64(40)) * np.uint64(bins)) >> np.uint64(24)).astype(np.int64), h & np.uint64((1 << 40) - 1))
-    sig = sig.reshape(-1, bins)
+    sig = np.full((len(lines), BANDS * ROWS), NONE)
+    upto, at = np.cumsum([len(x) for x in lines]), 0
+    while at < len(lines):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + HASHED, "right")))
+        _minima(lines[at:stop], sig[at:stop])
+        at = stop
     rows = np.flatnonzero((sig == NONE).any(axis=1))
     source, attempt = sig[rows].copy(), 0
     while len(rows):
-        order = np.random.default_rng(attempt).permutation(bins)
-        part = sig[rows]
+        order, part = _bin_order(attempt), sig[rows]
         sig[rows] = np.where(part == NONE, source[:, order], part)
         left = (sig[rows] == NONE).any(axis=1)
         rows, source, attempt = rows[left], source[left], attempt + 1
@@ -115,53 +150,48 @@ def band_keys(lines: list[bytes]) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, line, lid) of every line that isn't blank."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, ids = batch.column(0).to_numpy(), batch.column(1)
-            for at, part in byte_column(batch, "text"):
-                found = [[line_id(x) for x in normal_lines(t)] for t in part]
-                n = np.array([len(x) for x in found], np.int64)
-                which = np.repeat(np.arange(at, at + len(part)), n)
-                lid = np.array([x for own in found for x in own], np.int64)
-                line = np.arange(len(lid)) - np.repeat(np.cumsum(n) - n, n)
-                keep = lid != 0
-                yield pa.RecordBatch.from_arrays([pa.array(rows[which[keep]]), ids.take(pa.array(which[keep])), pa.array(line[keep].astype(np.int32)), pa.array(lid[keep])], ["row", "doc_id", "line", "lid"])
-
-    return in_arrow(docs, run, "row long, doc_id long, line int, lid long")
-
-
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    return (batch.slice(at, SENT) for at in range(0, batch.num_rows, SENT))
+def _ends(a: np.ndarray, b: np.ndarray) -> bytes:
+    return np.concatenate([a, b]).astype("<i8", copy=False).tobytes()
 
 
 def _postings(docs: DataFrame) -> DataFrame:
-    """(key, a, b): a = b posts line a under a band key; other rows are links met inside the task.
+    """(range, links, ends): band keys of one range and the lines posted under them, or links met inside the task.
 
-    Of lines that share a band key inside a task, one is posted and the others are linked to it, so
-    even the hottest key has few postings for each task.
+    ``ends`` holds two arrays of 64-bit integers end to end, so that the JVM deals out few rows.  Of lines
+    that share a band key inside a task, one is posted and the others are linked to it, so even the hottest
+    key has few postings for each task.
     """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = parts * -(-RANGES // parts)
 
-    def combined(key: np.ndarray, lid: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((lid, key))
+    def combined(key: np.ndarray, lid: np.ndarray) -> Iterator[tuple[int, bool, bytes]]:
+        order = np.argsort(key.view(np.uint64))
         key, lid = key[order], lid[order]
         new = np.concatenate([[True], key[1:] != key[:-1]])
         first = lid[np.maximum.accumulate(np.where(new, np.arange(len(lid)), 0))]
-        keep = new | (lid != first)
-        key = np.where(new, key, _mixed(lid.view(np.uint64)).view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, first, lid)], ["key", "a", "b"])
+        u, v = first[~new], lid[~new]
+        key, lid = key[new], lid[new]
+        place = (((key.view(np.uint64) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+        edge = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)]
+        for at, stop in zip(edge, edge[1:], strict=False):
+            yield int(place[at]), False, _ends(key[at:stop], lid[at:stop])
+        for at in range(0, len(u), 1024):
+            yield int(v[at] % ranges), True, _ends(u[at : at + 1024], v[at : at + 1024])
+
+    def sent(keys: list[np.ndarray], lids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = list(combined(np.concatenate(keys), np.concatenate(lids)))
+        for at in range(0, len(rows), 1024):
+            part = [pa.array(x, kind) for x, kind in zip(zip(*rows[at : at + 1024], strict=True), (pa.int32(), pa.bool_(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays(part, ["range", "links", "ends"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, keys, lids, held = set(), [], [], 0
         for batch in batches:
-            for _, part in byte_column(batch, "text", 128):
+            for _, part in byte_column(batch, "text"):
                 new = {}
                 for t in part:
                     for line in normal_lines(t):
-                        lid = line_id(line)
-                        if len(line) >= SHINGLE and lid not in seen:
+                        if len(line) >= SHINGLE and (lid := line_id(line)) not in seen:
                             new[lid] = line
                             seen.add(lid)
                 if new:
@@ -169,28 +199,43 @@ def _postings(docs: DataFrame) -> DataFrame:
                     lids.append(np.repeat(np.fromiter(new, np.int64, len(new)), BANDS))
                     held += len(lids[-1])
                 if held >= HELD:
-                    yield from _slices(combined(np.concatenate(keys), np.concatenate(lids)))
+                    yield from sent(keys, lids)
                     seen, keys, lids, held = set(), [], [], 0
         if held:
-            yield from _slices(combined(np.concatenate(keys), np.concatenate(lids)))
+            yield from sent(keys, lids)
 
-    return in_arrow(docs.select("text"), run, "key long, a long, b long")
+    return in_arrow(docs.select("text"), run, "range int, links boolean, ends binary").repartition(parts, "range").sortWithinPartitions("range")
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings sorted by key -> (u, v): each line of a key beside the first to come, and the links as they came."""
-    last, head = None, 0
+    """Postings sorted by range -> (u, v): each line of a key beside the first to come, and the links as they came."""
+    last, keys, lids = None, [], []
+
+    def sent(u: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(u), SENT):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + SENT]) for x in (u, v)], ["u", "v"])
+
+    def close() -> Iterator[pa.RecordBatch]:
+        key, lid = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (keys, lids))
+        order = np.argsort(key, kind="stable")
+        key, lid = key[order], lid[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+        first = lid[np.maximum.accumulate(np.where(new, np.arange(len(lid)), 0))]
+        other = first != lid
+        yield from sent(first[other], lid[other])
+
     for batch in batches:
-        key, a, b = (batch.column(i).to_numpy() for i in range(3))
-        if not len(key):
-            continue
-        new = np.concatenate([[key[0] != last], key[1:] != key[:-1]])
-        start = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        first = np.where(start >= 0, a[start], head)
-        last, head = key[-1], first[-1]
-        u, v = np.concatenate([first, a]), np.concatenate([a, b])
-        keep = u != v
-        yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], ["u", "v"])
+        for place, links, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            a, b = np.frombuffer(ends, "<i8").reshape(2, -1)
+            if links:
+                yield from sent(a, b)
+                continue
+            if place != last:
+                yield from close()
+                last, keys, lids = place, [], []
+            keys.append(a)
+            lids.append(b)
+    yield from close()
 
 
 def _jaccard_links(lids: list[int], sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
@@ -295,26 +340,39 @@ def _filter_of(ids: DataFrame) -> tuple[np.ndarray, int]:
     return out, size
 
 
-def _candidate_texts(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """(component, lid, line) of every candidate line, once."""
+def _occurrences(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """(row, doc_id, line, lid, text) of every line that isn't blank; each task gives the text of a candidate line once, or a few times."""
     shared = docs.sparkSession.sparkContext.broadcast(_filter_of(marked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (bits, size), seen = shared.value, set()
         for batch in batches:
-            for _, part in byte_column(batch, "text"):
-                new = {lid: line for t in part for line in normal_lines(t) if (lid := line_id(line)) not in seen}
-                seen.update(new)
+            rows, ids = batch.column(0).to_numpy(), batch.column(1)
+            for at, part in byte_column(batch, "text"):
+                found = [normal_lines(t) for t in part]
+                n = np.array([len(x) for x in found], np.int64)
+                lines = [x for own in found for x in own]
+                lid = np.fromiter(map(line_id, lines), np.int64, len(lines))
+                which = np.repeat(np.arange(at, at + len(part)), n)
+                line = np.arange(len(lid)) - np.repeat(np.cumsum(n) - n, n)
+                bit = (xxh64_long(lid) % np.int64(size)).astype(np.int64)
+                texts = [None] * len(lines)
+                for i in np.flatnonzero((bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool) & (lid != 0)).tolist():
+                    if lid[i] not in seen:
+                        seen.add(lid[i])
+                        texts[i] = lines[i].decode("utf-8", "replace")
                 if len(seen) > HELD // BANDS:
                     seen = set()
-                lid = np.fromiter(new, np.int64, len(new))
-                bit = (xxh64_long(lid) % np.int64(size)).astype(np.int64)
-                keep = (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
-                lines = [x.decode("utf-8", "replace") for x, k in zip(new.values(), keep.tolist(), strict=True) if k]
-                yield pa.RecordBatch.from_arrays([pa.array(lid[keep]), pa.array(lines, pa.string())], ["lid", "line"])
+                out = pa.RecordBatch.from_arrays([pa.array(rows[which]), ids.take(pa.array(which)), pa.array(line.astype(np.int32)), pa.array(lid), pa.array(texts, pa.string())], ["row", "doc_id", "line", "lid", "text"])
+                yield out.filter(pa.array(lid != 0))
+
+    return in_arrow(docs, run, "row long, doc_id long, line int, lid long, text string")
 
+
+def _candidate_texts(seen: DataFrame, marked: DataFrame) -> DataFrame:
+    """(component, lid, line) of every candidate line, once."""
     # a common line comes from many tasks: one of its copies is taken before anything else is done with it
-    found = in_arrow(docs.select("text"), run, "lid long, line string").groupBy("lid").agg(F.first("line").alias("line"))
+    found = seen.where("text is not null").groupBy("lid").agg(F.first("text").alias("line"))
     return found.join(marked, F.col("lid") == F.col("node")).select("component", "lid", "line")
 
 
@@ -415,25 +473,20 @@ def _classed(rows: DataFrame, within: DataFrame) -> DataFrame:
     return rows.join(own, (F.col("group") == F.col("of")) & (F.col("lid") == F.col("own")), "left").select(*rows.columns, F.coalesce("class", "lid").alias("class"))
 
 
-def line_components(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, component): lines with a near twin, by 64-bit id of the normalised line; ``docs(text)``."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = in_arrow(_postings(docs).repartition(parts, "key").sortWithinPartitions("key"), _candidates, "u long, v long")
-    marked = stored(connected_components(links))
-    texts = stored(_candidate_texts(docs, marked))
-    return connected_components(verified_links(texts, threshold))
-
-
 def line_removals(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(row, removed): for each document that loses lines, their numbers and the doc_ids of the lines kept."""
     docs = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = stored(_occurrences(docs))
-    near = line_components(docs.select("text"), threshold)
-    classed = seen.join(near, F.col("lid") == F.col("node"), "left").select("row", "doc_id", "line", F.coalesce("component", "lid").alias("class"))
+    marked = stored(connected_components(in_arrow(_postings(docs), _candidates, "u long, v long")))
+    seen = stored(_occurrences(docs, marked))
+    near = stored(connected_components(verified_links(stored(_candidate_texts(seen, marked)), threshold)))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
-    kept = classed.groupBy("class").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # by line first, so that only lines with a near twin are dealt out by class
+    lines = seen.groupBy("lid").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(near, F.col("lid") == F.col("node"), "left")
+    lines = stored(lines.where("n > 1 or component is not null").select("lid", "component", "first"))
+    classes = stored(lines.where("component is not null").groupBy(F.col("component").alias("class")).agg(F.min("first").alias("earliest")))
+    kept = lines.join(classes, F.col("component") == F.col("class"), "left").select("lid", F.coalesce("earliest", "first").alias("kept"))
     kept = stored(kept)  # joined on its own, so that the rows of a hot line are split over tasks
-    gone = classed.join(kept, "class").where(place != F.col("kept"))
+    gone = seen.drop("text").join(kept, "lid").where(place != F.col("kept"))
     return gone.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("line", F.col("kept.doc_id").alias("kept_in")))).alias("removed"))
 
 

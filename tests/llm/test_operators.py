@@ -814,6 +814,28 @@ def test_verified_links_lose_none(spark, monkeypatch):
         assert classes(len(lines), [(at[r["u"]], at[r["v"]]) for r in links]) == want
 
 
+@pytest.mark.parametrize("held", [500_000, 700])
+def test_postings_travel_packed(spark, monkeypatch, held):
+    """A row holds many band keys, and each line still meets all others of its keys, over tasks, flushes and ranges."""
+    base = prose(40)
+    lines = sorted({normal(edited(base, k % 9)) for k in range(150)} | {normal(prose(20)) for _ in range(250)})
+    keys = line_dedup.band_keys([x.encode() for x in lines])
+    holders = {}
+    for i, own in enumerate(keys.tolist()):
+        for key in own:
+            holders.setdefault(key, []).append(i)
+    want = classes(len(lines), [(x[0], y) for x in holders.values() for y in x[1:]])
+    rng.shuffle(order := list(range(len(lines))) * 3)
+    df = spark.createDataFrame([("\n".join(lines[i] for i in order[k : k + 6]),) for k in range(0, len(order), 6)], "text string").repartition(4)
+    monkeypatch.setattr(line_dedup, "HELD", held)
+    monkeypatch.setattr(line_dedup, "RANGES", 16, raising=False)
+    packed = line_dedup._postings(df)
+    assert packed.count() < keys.size / 5
+    at = {line_dedup.line_id(x.encode()): i for i, x in enumerate(lines)}
+    links = {(at[r["u"]], at[r["v"]]) for r in common.in_arrow(packed, line_dedup._candidates, "u long, v long").collect()}
+    assert classes(len(lines), sorted(links)) == want
+
+
 def test_links_of_a_large_group_are_few(spark):
     """Comparing makes rows for the links that join classes only, none for lines by themselves, and loses no class."""
     base = prose(30)
